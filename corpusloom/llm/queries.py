@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, licences, packing, quality, rules
+from . import archives, bpe, decontaminate, licences, near, packing, quality, rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover."""
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class and the number of links of every document."""
+    return near.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -54,9 +64,23 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_warc_from_arc, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op9_subword_quality, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_warc_from_arc, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op8_ngram_join, op9_subword_quality, op10_rule_ledger)}
+
+
+#: WARC digests are the base32 of SHA-1: 8 times 5 hexadecimal digits make 4 letters.
+_OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top, count(*) AS n FROM p GROUP BY d),
+q AS (SELECT page_id, h, top, list_transform(range(0, 8), lambda k: CAST('0x' || substr(p.d, 1 + 5 * CAST(k AS INT), 5) AS INTEGER)) AS v FROM p JOIN m ON p.d = m.d)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x >> 15) & 31 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x >> 10) & 31 AS INT), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((x >> 5) & 31 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(x & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM q
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the queries' names."""
-    return {}
+    return {"op1_warc_from_arc": _OP1_SQL, "op6_winnowing": decontaminate.SQL}
