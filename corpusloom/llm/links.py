@@ -135,16 +135,21 @@ def _linked(sets: list[np.ndarray], side: np.ndarray, five: int, four: int) -> t
     return np.nonzero(np.triu(ok, 1))
 
 
+def _key(place: dict) -> tuple:
+    """A struct as something to sort by; nulls come first, as they do in Spark."""
+    return tuple((x is not None, x) for x in place.values())
+
+
 def verified(members: DataFrame, four: int = 4, five: int = 5, block: int = SET_BLOCK) -> DataFrame:
     """Exact links of members within their groups.
 
     members: root (the group), n_group, id, ``set`` (its distinct 64-bit values as bytes), copies and ``ord``
-    (an array that orders members). Returns id, links (the copies of those linked), later (whether one
+    (a struct that orders members). Returns id, links (the copies of those linked), later (whether one
     linked comes before), other (the least linked id or its own), a row for each cell.
     """
 
     def work(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, raw, order = table.column("id").to_pylist(), table.column("set").to_pylist(), table.column("ord").to_pylist()
+        ids, raw, order = table.column("id").to_pylist(), table.column("set").to_pylist(), [_key(x) for x in table.column("ord").to_pylist()]
         side, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
         out: tuple[list, list, list, list] = ([], [], [], [])
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):

@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     wanted = small(written(chosen.select(F.col("first.doc_id").alias("_doc"), F.col("first.th").alias("_th")), "wanted"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(wanted, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
-    return rows.mapInArrow(run, "id binary, set binary").join(small(chosen.select("id", "root", "n_group", "copies", F.lit(0).alias("ord"))), "id")
+    return rows.mapInArrow(run, "id binary, set binary").join(small(chosen.select("id", "root", "n_group", "copies", F.col("first").alias("ord"))), "id")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

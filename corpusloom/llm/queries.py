@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, licences, near, packing, quality, rules
+from . import archives, bpe, decontaminate, licences, lines, near, packing, quality, rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the lines that a line before resembles, and the text without them."""
+    docs = _read(spark, sf_dir, "documents")
+    rows = lines.without_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")))
+    return rows.select("doc_id", "n_lines", F.size(F.coalesce("removed", F.array().cast("array<int>"))).cast("long").alias("n_removed"), "removed", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.sha1(F.coalesce("text", F.lit(""))).alias("text_sha1"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class and the number of links of every document."""
     return near.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -64,7 +71,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_warc_from_arc, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op8_ngram_join, op9_subword_quality, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_warc_from_arc, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op7_line_join, op8_ngram_join, op9_subword_quality, op10_rule_ledger)}
 
 
 #: WARC digests are the base32 of SHA-1: 8 times 5 hexadecimal digits make 4 letters.
