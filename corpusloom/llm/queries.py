@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, licences, lines, near, packing, quality, rules
+from . import archives, bpe, decontaminate, licences, lines, near, packing, pages, quality, rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -25,6 +26,11 @@ def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.main_texts(_read(spark, sf_dir, "pages"))
+
+
 def op3_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     return licences.licence_labels(_read(spark, sf_dir, "documents"))
@@ -32,12 +38,12 @@ def op3_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
-    return bpe.token_counts(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return bpe.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048."""
-    return packing.packed(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.packed(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_warc_from_arc, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op7_line_join, op8_ngram_join, op9_subword_quality, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_warc_from_arc, op2_host_suffix_array, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op7_line_join, op8_ngram_join, op9_subword_quality, op10_rule_ledger)}
 
 
 #: WARC digests are the base32 of SHA-1: 8 times 5 hexadecimal digits make 4 letters.
