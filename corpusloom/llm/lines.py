@@ -27,8 +27,10 @@ from .near import set_id
 from .shared import FOLD, Words, chunks, mix, small, text_bytes, written
 
 #: Counters of the sketch, and of each block that it travels in.
-SKETCH, PAGE = 1 << 22, 1 << 16
+SKETCH, PAGE = 1 << 23, 1 << 16
 LINE_BLOCK = 1024
+#: The sketch's rounded logarithm of one.
+ONCE = 6
 #: Sets of lines that a task remembers, so that what it reads often goes out once.
 RECENT = 1 << 18
 
@@ -41,10 +43,10 @@ class Lines:
         breaks = np.cumsum(t.raw == 10)
         line = breaks[t.starts]  # over all texts
         base = breaks[t.begins[:-1]] - (t.raw[t.begins[:-1]] == 10)  # line breaks before each text
-        order = np.lexsort((t.hashes, t.owner, line))
-        line, owner, token = line[order], t.owner[order], t.hashes[order]
         new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
+        new[1:] = (line[1:] != line[:-1]) | (t.owner[1:] != t.owner[:-1])
+        order = _order(np.cumsum(new) - 1, t.hashes)  # lines stay in place
+        owner, token = t.owner, t.hashes[order]
         keep = new.copy()
         keep[1:] |= token[1:] != token[:-1]
         self.token, line, owner, new = token[keep], line[keep], owner[keep], new[keep]
@@ -71,6 +73,22 @@ class Lines:
         return self.token[self.first[k] : self.first[k + 1]]
 
 
+def _order(group: np.ndarray, value: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Order by group, then by ``first`` (below 256), then by value; one packed key, and all keys where it doesn't decide."""
+    bits = max(1, int(group[-1] if len(group) else 0).bit_length())
+    key = group.astype(np.uint64) << np.uint64(64 - bits)
+    low = bits
+    if first is not None:
+        low += 8
+        key |= first.astype(np.uint64) << np.uint64(64 - low)
+    key |= value >> np.uint64(low)
+    order = np.argsort(key)
+    k, v = key[order], value[order]
+    if ((k[1:] == k[:-1]) & (v[1:] < v[:-1])).any():
+        return np.lexsort((value, group) if first is None else (value, first, group))
+    return order
+
+
 class _Fresh:
     """Which lines a task hasn't seen lately."""
 
@@ -94,11 +112,11 @@ def slot(tokens: np.ndarray) -> np.ndarray:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: lines (doc_id, th, number, id, n), and pages of the sketch (number, counts)."""
+    """Two kinds of rows: lines (doc_id, th, number, id, name, n), and pages of the sketch (number, counts)."""
     kind = docs.schema["doc_id"].dataType
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh, counts, names = _Fresh(), np.zeros(SKETCH, np.uint32), ["doc_id", "th", "number", "id", "n", "counts"]
+        fresh, counts, names = _Fresh(), np.zeros(SKETCH, np.uint32), ["doc_id", "th", "number", "id", "name", "n", "counts"]
         doc_type, touched = None, False
         for part in parts:
             doc_type = part.column(0).type
@@ -113,19 +131,19 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 touched = True
                 at = pa.array(lines.text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(ids, pa.binary()), pa.array(lines.sizes, pa.int32()), pa.nulls(len(ids), pa.binary())],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(ids, pa.binary()), pa.array(np.ascontiguousarray(lines.ids[:, 0]).view(np.int64)), pa.array(lines.sizes, pa.int32()), pa.nulls(len(ids), pa.binary())],
                     names=names,
                 )
         if touched:
             pages = counts.reshape(-1, PAGE)
             used = np.flatnonzero(pages.any(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), doc_type), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int32()), pa.array([_packed(pages[p]) for p in used], pa.binary())],
+                [pa.nulls(len(used), doc_type), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32()), pa.array([_packed(pages[p]) for p in used], pa.binary())],
                 names=names,
             )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, th long, number int, id binary, n int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, th long, number int, id binary, name long, n int, counts binary")
 
 
 def _packed(page: np.ndarray) -> bytes:
@@ -164,10 +182,18 @@ def parity(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 128), axis=1).view(np.uint64)
 
 
+#: A line in a cell: its name, size, the word's place in its order, and its parity map.
+_BODY = np.dtype([("id", "<u8"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
+
+
 def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFrame:
-    """cell, side and body (id, size, position, parity map) for each prefix word of each line."""
+    """cell, side and body (see _BODY) for each prefix word of each line.
+
+    A line is named by 64 bits here: lines that share a name by chance are candidates of the same
+    component, no more, as names of 128 bits and the sets themselves decide later.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(logs)  # SKETCH bytes
-    kind = np.dtype([("id", "V16"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
+    kind = _BODY
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, fresh = sent.value, _Fresh()
@@ -183,20 +209,21 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
                 keep[new] = True
                 keep = keep[lines.of_token]
                 token = lines.token[keep]
-                renumber = np.cumsum(np.isin(np.arange(len(names)), new)) - 1
+                renumber = np.zeros(len(names), np.int64)
+                renumber[new] = np.arange(len(new))
                 of = renumber[lines.of_token[keep]]
                 sizes = lines.sizes[new].astype(np.int64)
                 maps = parity(token, of, len(new))
                 common = log[slot(token)]
-                order = np.lexsort((token, common, of))
+                order = _order(of, token, common)
                 token, of, common = token[order], of[order], common[order]
                 begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])
                 at = np.arange(len(token)) - begins[of]
                 prefix = sizes - -(-four * sizes // five) + 1
-                head = at < prefix[of]
+                head = (at < prefix[of]) & (common > ONCE)  # a word that one line has can't be shared
                 token, of, common, at = token[head], of[head], common[head], at[head]
                 body = np.zeros(len(token), kind)
-                body["id"] = lines.ids[new].view("V16").ravel()[of]
+                body["id"] = lines.ids[new, 0][of]
                 body["n"], body["at"], body["map"] = sizes[of], at, maps[of]
                 blocks = np.ceil(np.exp2(common / 6.0) * 1.1 / LINE_BLOCK).astype(np.int64)
                 own = (lines.ids[new, 0][of] % blocks.astype(np.uint64)).astype(np.int64)
@@ -216,7 +243,7 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
 
 def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
     """Edges a, b of lines that no bound rules out: for each task and line one edge to the least it is tied to."""
-    kind = np.dtype([("id", "V16"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
+    kind = _BODY
 
     def work(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.diff(begins) > 1
@@ -225,19 +252,19 @@ def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
         body = table.column("body").combine_chunks()
         offset = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, body.offset * 4)
         rows = np.frombuffer(body.buffers()[2], kind, len(body), int(offset[0]))
-        side = table.column("side").to_numpy()
         cell = np.repeat(np.arange(len(many)), np.diff(begins))
+        order = np.argsort((cell << 32) + rows["n"], kind="stable")  # by size within each cell
+        rows, side = rows[order], table.column("side").to_numpy()[order]
         base = np.flatnonzero(many[cell])
         n, at, maps, lag = rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["map"], 1
         a, b = [], []
         while len(base):
             base = base[base + lag < begins[cell[base] + 1]]
+            base = base[five * n[base] >= four * n[base + lag]]  # those after are larger still
             i, j = base, base + lag
             lag += 1
-            ok = (five * np.minimum(n[i], n[j]) >= four * np.maximum(n[i], n[j])) & ((side[i] == 0) | (side[i] != side[j]))
-            i, j = i[ok], j[ok]
             need = -(-four * (n[i] + n[j]) // (four + five))
-            ok = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need
+            ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((side[i] == 0) | (side[i] != side[j]))
             i, j, need = i[ok], j[ok], need[ok]
             apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1).astype(np.int64)
             ok = apart <= n[i] + n[j] - 2 * need
@@ -248,15 +275,12 @@ def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         if not len(a):
             return
-        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        names, node = np.unique(np.frombuffer(rows["id"][nodes].tobytes(), ">u8").reshape(-1, 2), axis=0, return_inverse=True)
-        node = node.ravel()[place]
+        names, node = np.unique(rows["id"][np.concatenate([a, b])].view(np.int64), return_inverse=True)
         label = least_labels(len(names), node[: len(a)], node[len(a) :])
         moved = np.flatnonzero(label != np.arange(len(names)))
-        raw = [x.tobytes() for x in names.astype(">u8")]
-        yield pa.RecordBatch.from_arrays([pa.array([raw[k] for k in moved], pa.binary()), pa.array([raw[label[k]] for k in moved], pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["a", "b"])
 
-    return by_cell(entries, work, "a binary, b binary")
+    return by_cell(entries, work, "a long, b long")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -287,9 +311,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     lines = scanned.where("id IS NOT NULL").drop("counts")
     logs = _sketch(scanned.where("id IS NULL").select("number", "counts"))
     place = F.struct("doc_id", "th", "number")
-    firsts = written(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n_lines")), "firsts")
+    firsts = written(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n_lines"), F.first("name").alias("name")), "firsts")
     groups = grouped(_candidates(_entries(docs, logs, four, five), four, five))
-    chosen = written(groups.join(firsts.select("id", "first"), "id"), "chosen")
+    named = firsts.select(F.col("name").alias("node"), "id", "first")
+    chosen = written(groups.withColumnRenamed("id", "node").join(named, "node"), "chosen")
     found = verified(_sets(docs, chosen), four, five).where("later").select("id").distinct()
     near = small(written(found, "similar")).withColumn("near", F.lit(True))
     gone = firsts.join(near, "id", "left").where("n_lines > 1 OR near")
