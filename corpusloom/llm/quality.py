@@ -50,8 +50,9 @@ def buckets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
         for i in range(1, n):
             key |= raw[i : len(raw) - n + 1 + i] << np.uint32(8 * i)
         key = (key ^ (key >> np.uint32(15))) * np.uint32(2654435761 + 2 * n)
-        last = np.maximum(ends - n + 1, t.begins[:-1])
-        out.append(((key ^ (key >> np.uint32(13))) % np.uint32(BUCKETS), t.begins[:-1], np.minimum(last, len(key))))
+        first = np.minimum(t.begins[:-1], len(key))  # short texts at the end have no n-gram
+        last = np.maximum(np.minimum(ends - n + 1, len(key)), first)
+        out.append(((key ^ (key >> np.uint32(13))) % np.uint32(BUCKETS), first, last))
     return out
 
 

@@ -233,11 +233,11 @@ def test_arc_versions():
 
 def test_pages(spark):
     boiler = "<div>We keep small files on your machine to count visits and more</div>"
-    bare = [(i, "http://h.example/x", f"<body>{boiler}<p>{i} stands first in text of its own &amp; more</p>") for i in range(3)]
+    bare = [(i, "http://h.example/x", f"<body>{boiler}<p>{i} page has text {i} of its own {i} &amp; more</p>") for i in range(3)]
     odd = [(10, None, None), (11, "u", ""), (12, "u", "<article><h1>T</h1><p>a<br>b &lt;c&gt;<p>d</p><div class='comments'><p>e</p></div><aside>f</aside></article><footer>g</footer>"), (13, "u", "text <b>only</b> <scr"), (14, "u", "<script>x</script><nav>n</nav>")]
     got = {r["page_id"]: r for r in pages.main_texts(spark.createDataFrame(bare + odd, "page_id long, url string, html string")).collect()}
     for i in range(3):
-        assert got[i]["text"] == f"{i} stands first in text of its own & more"
+        assert got[i]["text"] == f"{i} page has text {i} of its own {i} & more"
     assert [got[i]["text"] for i in range(10, 15)] == ["", "", "T\na b <c>\nd", "text only", ""]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert plain(pages.main_texts(spark.createDataFrame([], "page_id long, url string, html string"))) == []
