@@ -38,9 +38,10 @@ class Lines:
 
     def __init__(self, texts: list[bytes]):
         t = Words(texts, FOLD)
-        breaks = np.cumsum(t.raw == 10)
-        line = breaks[t.starts]  # over all texts
-        base = breaks[t.begins[:-1]] - (t.raw[t.begins[:-1]] == 10)  # line breaks before each text
+        breaks = np.flatnonzero(t.raw == 10)
+        n = len(t.starts)
+        line = np.cumsum(np.bincount(np.searchsorted(t.starts, breaks), minlength=n)[:n])  # over all texts
+        base = np.searchsorted(breaks, t.begins[:-1])  # line breaks before each text
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (t.owner[1:] != t.owner[:-1])
         order = _order(np.cumsum(new) - 1, t.hashes)  # lines stay in place
@@ -125,7 +126,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 if not ids:
                     continue
                 new = fresh(ids)
-                np.add.at(counts, slot(lines.token[new[lines.of_token]]), 1)
+                np.add.at(counts, slot(lines.token[new[lines.of_token]]), np.uint32(1))  # of the counters' type, or numpy takes a slow way
                 touched = True
                 at = pa.array(lines.text + a)
                 yield pa.RecordBatch.from_arrays(

@@ -68,9 +68,9 @@ class Words:
         inside = np.concatenate([np.zeros(1, bool), self.folded != 0])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.owner = np.searchsorted(self.begins, self.starts, "right") - 1
-        self.counts = np.bincount(self.owner, minlength=len(texts))
-        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.counts)])
+        self.first = np.searchsorted(self.starts, self.begins)
+        self.counts = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(texts)), self.counts)
         if hashed:
             power, back = _powers(len(self.raw) + 1)
             with np.errstate(over="ignore"):
