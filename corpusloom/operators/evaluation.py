@@ -16,3 +16,18 @@ def quality(ranked: DataFrame, category: str) -> DataFrame:
     """n, hit rates at 1, 3 and 5 and mean reciprocal rank, for each category and (null) for all, in one pass."""
     hit = {f"hit_{k}": F.round(F.avg(F.coalesce(F.col("first_rank") <= k, F.lit(False)).cast("int")), 6).alias(f"hit_{k}") for k in (1, 3, 5)}
     return ranked.rollup(category).agg(F.count("*").alias("n"), *hit.values(), F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def integrity(queries: DataFrame, documents: DataFrame, key: str, text: str, category: str, expected: str, known: list) -> DataFrame:
+    """problem and n: repeated keys, repeated texts, unknown categories, and expected documents that aren't there.
+
+    Every problem has a row, with 0 where it doesn't occur. ``documents`` has the column ``expected``.
+    """
+    one = queries.agg(
+        (F.count(key) - F.count_distinct(key)).alias("repeated_key"),
+        (F.count(text) - F.count_distinct(text)).alias("repeated_text"),
+        F.count_if(~F.coalesce(F.col(category).isin(known), F.lit(False))).alias("unknown_category"),
+    )
+    lost = queries.join(documents.select(expected), expected, "left_anti").agg(F.count("*").alias("missing_document"))
+    wide = one.join(lost)  # one row each
+    return wide.select(F.explode(F.create_map(*(x for c in wide.columns for x in (F.lit(c), F.col(c))))).alias("problem", "n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import corpus, memory
+from ..functions import answers, text, vectors
+from ..operators import corpus, evaluation, memory
 from ..sources import documents as sources
 from ..streaming import ingest
 
@@ -317,3 +317,50 @@ def window_counts(spark, d):
 def html_to_text(spark, d):
     """Pages as lines of text; SQL can't parse HTML, the tests compare golden pages."""
     return sources.html_to_text(read(spark, d, "pages"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'PASS' WHEN p_partkey % 3 = 1 THEN 'REVISE' END AS decision, p_name || '|second' AS reasons, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS missing, '' AS claims FROM part")
+def review_parse(spark, d):
+    """Decisions and bullets of reviewers' answers, made up from the parts' names."""
+    word = F.element_at(F.array(F.lit("**Decision:** pass"), F.lit("Decision:\nRevise"), F.lit("Decision: maybe")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("1. '"), "p_name", F.lit("'"))).otherwise("- None.")
+    answer = F.concat(word, F.lit("\n\n**Reasons:\n- "), "p_name", F.lit("\n* second\n\nUnsupported claims:\n- N/A\nMissing important information:\n"), said)
+    found = read(spark, d, "part").select("p_partkey", answers.review(answer).alias("r"))
+    lists = {"reasons": "reasons", "missing": "missing_information", "claims": "unsupported_claims"}
+    return found.select("p_partkey", "r.decision", *(F.array_join(f"r.{c}", "|").alias(a) for a, c in lists.items()))
+
+
+@query("SELECT 'repeated_key' AS problem, count(vec_id) - count(DISTINCT vec_id) AS n FROM embeddings UNION ALL SELECT 'repeated_text', count(text) - count(DISTINCT text) FROM embeddings JOIN documents ON vec_id = doc_id UNION ALL SELECT 'unknown_category', count(*) FROM embeddings WHERE label > 7 UNION ALL SELECT 'missing_document', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def eval_set_checks(spark, d):
+    """Problems of a set of evaluation queries."""
+    docs = read(spark, d, "documents")
+    asked = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label").join(docs.select("doc_id", "text"), "doc_id", "left")
+    return evaluation.integrity(asked.withColumn("id", F.col("doc_id")), docs.where("lang = 'en'"), "id", "text", "label", "doc_id", list(range(8)))
+
+
+@query("SELECT o_custkey, o_orderkey AS first_order FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def first_match(spark, d):
+    """The first row of each key by time."""
+    return read(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score, round(1 - (1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 4) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def distance_scores(spark, d):
+    """Both scores that are made of a distance, for neighbouring vectors."""
+    t = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    pairs = t.join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    cos = vectors.cosine(F.col("a"), F.col("b"))
+    return pairs.select("vec_id", F.round(cos, 4).alias("score"), F.round(memory.sim01(cos), 4).alias("similarity"))
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS numbers, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey")
+def ids_by_source(spark, d):
+    """The sorted distinct ids of each source, with a count."""
+    rows = read(spark, d, "lineitem").groupBy("l_suppkey")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("numbers"), F.count_distinct("l_orderkey").alias("n_orders"))
+
+
+@query("SELECT doc_id // 64 AS shard, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY 1")
+def shard_split(spark, d):
+    """Shards of 64 positions, with their ranges."""
+    return read(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
