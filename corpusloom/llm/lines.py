@@ -181,12 +181,13 @@ def parity(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 128), axis=1).view(np.uint64)
 
 
-#: A line in a cell: its name, size, the word's place in its order, and its parity map.
+#: A line in a cell: its name, size, the word's place in its order times four plus the line's side, and its parity map.
+#: A text has less than 2**31 bytes, so a place is below 2**30.
 _BODY = np.dtype([("id", "<u8"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
 
 
 def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFrame:
-    """cell, side and body (see _BODY) for each prefix word of each line.
+    """cell and body (see _BODY) for each prefix word of each line.
 
     A line is named by 64 bits here: lines that share a name by chance are candidates of the same
     component, no more, as names of 128 bits and the sets themselves decide later.
@@ -232,12 +233,14 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
                 with np.errstate(over="ignore"):
                     cell = mix(token[repeat] + mix((low * 1_000_003 + high).astype(np.uint64))).view(np.int64)
                 side = np.where(own[repeat] == other, 0, np.where(own[repeat] < other, 1, 2))
-                raw, width = body.tobytes(), kind.itemsize
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(body), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                body = body[repeat]
+                body["at"] = body["at"] * 4 + side
                 for k in range(0, len(cell), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 100_000]), pa.array(side[k : k + 100_000], pa.int32()), data.take(pa.array(repeat[k : k + 100_000]))], names=["cell", "side", "body"])
+                    some = body[k : k + 100_000]
+                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize), len(some), [None, pa.py_buffer(some.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 100_000]), data], names=["cell", "body"])
 
-    return docs.select("text").mapInArrow(run, "cell long, side int, body binary")
+    return docs.select("text").mapInArrow(run, "cell long, body binary")
 
 
 def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
@@ -253,9 +256,9 @@ def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
         rows = np.frombuffer(body.buffers()[2], kind, len(body), int(offset[0]))
         cell = np.repeat(np.arange(len(many)), np.diff(begins))
         order = np.argsort((cell << 32) + rows["n"], kind="stable")  # by size within each cell
-        rows, side = rows[order], table.column("side").to_numpy()[order]
+        rows = rows[order]
         base = np.flatnonzero(many[cell])
-        n, at, maps, lag = rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["map"], 1
+        n, at, side, maps, lag = rows["n"].astype(np.int64), (rows["at"] >> 2).astype(np.int64), rows["at"] & 3, rows["map"], 1
         a, b = [], []
         while len(base):
             base = base[base + lag < begins[cell[base] + 1]]
