@@ -66,16 +66,14 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that edges connect it with."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
+        x, y = label[a], label[b]  # roots, as labels are followed to their ends below
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
         open_ = label[a] != label[b]
-        if not open_.any():
-            break
         a, b = a[open_], b[open_]
-    while (label[label] != label).any():
-        label = label[label]
     return label
 
 
