@@ -6,7 +6,8 @@ chains of them. Markup decides first: blocks in navigation, footers, forms, adve
 article stay, as passages are rightly quoted on several pages. Elsewhere, repeated runs go and unique runs stay.
 
 Large hosts are cut into shards of at most SHARD_BYTES of html on average, each with an array of its own,
-so no host meets in one task; a run counts as repeated if two pages of a shard have it.
+so no host meets in one task. Runs that touch open blocks are also looked up by hash among all pages of the
+host, so what counts as repeated doesn't depend on the shards.
 
 Nulls and empty pages have no text. A null url is a host of its own. Rows that repeat a page_id are pages
 of their own, and do not count as distinct if the url is equal too. Very long pages are taken whole.
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import by_cell
-from .shared import FOLD, Words, small, written
+from .shared import FOLD, Words, mix, small, text_bytes, written
 
 #: Words of the shortest run that counts as repeated: a power of two.
 RUN = 8
@@ -201,8 +203,16 @@ def repeated(hashes: np.ndarray, page: np.ndarray) -> np.ndarray:
     return seen[np.arange(n) + 1] > seen[low]
 
 
-def host_texts(texts: list[list[str]], kinds: list[str], page: list[int]) -> list[str]:
-    """The main text of each page of a shard; pages of equal number aren't distinct."""
+def runs(pages: list[bytes], host: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of pages, the first word of each run of RUN words of a page, and the run's key within its host."""
+    t = Words(pages, FOLD)
+    at, h = t.windows(RUN)
+    with np.errstate(over="ignore"):
+        return t, at, mix(h + mix(host.astype(np.int64).view(np.uint64))[t.owner[at]]).view(np.int64)
+
+
+def host_texts(texts: list[list[str]], kinds: list[str], page: list[int], covered: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of a shard; pages of equal number aren't distinct. covered: words known to repeat elsewhere."""
     flat = [b.encode() for t in texts for b in t]
     if not flat:
         return ["" for _ in texts]
@@ -211,6 +221,8 @@ def host_texts(texts: list[list[str]], kinds: list[str], page: list[int]) -> lis
     order = np.argsort(owner[t.owner], kind="stable")
     cover = np.zeros(len(t.hashes), bool)
     cover[order] = repeated(t.hashes[order], owner[t.owner][order])
+    if covered is not None:
+        cover |= covered
     out, k = [], 0
     for own, kind in zip(texts, kinds, strict=True):
         kept = []
@@ -251,28 +263,80 @@ def main_texts(pages: DataFrame) -> DataFrame:
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / SHARD_BYTES).cast("int").alias("shards"))
     large = small(written(sizes.where("shards > 1"), "hosts"))  # the others have one shard
     rows = rows.join(large, "host", "left")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    rows = rows.select("page_id", "url", "html", F.xxhash64("host", shard).alias("cell"))
+    page = F.xxhash64("page_id", "url")
+    shard = F.pmod(page, F.coalesce("shards", F.lit(1)))
+    rows = rows.select("page_id", "url", "html", F.xxhash64("host", shard).alias("cell"), F.xxhash64("host").alias("host"), page.alias("page"), "shards")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = [blocks(x.as_py() or "") for x in part.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(3), pa.array(["\n".join(t for t, _ in f) for f in found], pa.string()), pa.array(["".join(k for _, k in f) for f in found], pa.string())],
-                names=["page_id", "url", "cell", "blocks", "kinds"],
+                [part.column(0), part.column(1), part.column(3), part.column(4), pa.array(["\n".join(t for t, _ in f) for f in found], pa.string()), pa.array(["".join(k for _, k in f) for f in found], pa.string()), pa.nulls(len(found), pa.list_(pa.int64()))],
+                names=["page_id", "url", "cell", "host", "blocks", "kinds", "runs"],
             )
 
     def work(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             part = table.slice(a, b - a)
+            known = part.filter(pc.is_valid(part.column("runs"))).column("runs")
+            part = part.filter(pc.is_null(part.column("runs")))
             kinds = part.column("kinds").to_pylist()
             texts = [t.split("\n") if k else [] for t, k in zip(part.column("blocks").to_pylist(), kinds, strict=True)]
             number: dict[tuple, int] = {}
             page = [number.setdefault(x, len(number)) for x in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), strict=True)]
-            made = host_texts(texts, kinds, page)
+            covered = None
+            if len(known):
+                t, at, key = runs(text_bytes(part.column("blocks")), part.column("host").to_numpy())
+                covered = np.zeros(len(t.hashes), bool)
+                at = at[np.isin(key, pc.list_flatten(known).to_numpy())]
+                for k in range(RUN):
+                    covered[at + k] = True
+            made = host_texts(texts, kinds, page, covered)
             yield from pa.Table.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.chunked_array([pa.array(made, pa.string())]), pa.chunked_array([pa.array([len(x) for x in made], pa.int64())])], names=["page_id", "url", "text", "n_chars"]
             ).to_batches()
 
-    cells = rows.mapInArrow(cut, f"page_id {types['page_id']}, url {types['url']}, cell long, blocks string, kinds string")
+    kind = f"page_id {types['page_id']}, url {types['url']}, cell long, host long, blocks string, kinds string, runs array<long>"
+    cells = rows.select("page_id", "url", "html", "cell", "host").mapInArrow(cut, kind)
+    known = _shared_runs(rows.where("shards > 1").select("html", "host", "cell", "page"))
+    if known is not None:
+        none = {c: F.lit(None).cast(t) for c, t in types.items()}
+        cells = cells.unionByName(known.select(none["page_id"].alias("page_id"), none["url"].alias("url"), "cell", F.lit(0).cast("long").alias("host"), F.lit("").alias("blocks"), F.lit("").alias("kinds"), "runs"))
     return by_cell(cells, work, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+
+
+def _shared_runs(rows: DataFrame) -> DataFrame | None:
+    """cell and runs: the keys of the runs that touch open blocks of a shard and that two distinct pages of the host have.
+
+    rows: html, host, cell and page. None where no page has an open block.
+    """
+
+    def found(wanted: bool):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                made = [blocks(x.as_py() or "") for x in part.column(0)]
+                host, other = part.column(1).to_numpy(), part.column(2).to_numpy()
+                pick = [i for i, f in enumerate(made) if not wanted or any(k == OPEN for _, k in f)]
+                for low in range(0, len(pick), 64):
+                    some = pick[low : low + 64]
+                    t, at, key = runs(["\n".join(x for x, _ in made[i]).encode() for i in some], host[some])
+                    of = t.owner[at]
+                    if wanted:
+                        block = np.searchsorted(np.sort(np.concatenate([np.flatnonzero(t.raw == 10), t.begins[1:] - 1])), t.starts)  # of all these pages
+                        is_open = np.array([k == OPEN for i in some for _, k in (made[i] or [("", GOES)])])[block]
+                        seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(is_open)])
+                        touch = seen[at + RUN] > seen[at]
+                        key, of = key[touch], of[touch]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other[some][of]), pa.array(host[some][of])], names=["key", "other", "host"])
+
+        return run
+
+    kind = "key long, other long, host long"
+    asked = written(rows.select("html", "host", "cell").mapInArrow(found(True), kind).distinct(), "open-runs")
+    if asked.isEmpty():
+        return None
+    hosts = small(written(asked.select("host").distinct(), "open-hosts"))
+    pages = rows.join(hosts, "host", "left_semi").select("html", "host", "page")
+    several = pages.mapInArrow(found(False), kind).groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a < b").select("key")
+    known = asked.join(several, "key").groupBy(F.col("other").alias("cell")).agg(F.collect_list("key").alias("runs"))
+    return written(known, "shared-runs")
