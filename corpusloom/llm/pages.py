@@ -3,7 +3,8 @@
 A page is cut into blocks. The words of a host's pages are put in one stream, whose suffixes are sorted
 by their first RUN words; runs that begin suffixes of distinct pages repeat, and longer repeats are
 chains of them. Markup decides first: blocks in navigation, footers, forms, adverts and the like go; blocks of an
-article stay, as passages are rightly quoted on several pages. Elsewhere, repeated runs go and unique runs stay.
+article (without one, of main) stay, as passages are rightly quoted on several pages. Elsewhere, repeated runs go and
+unique runs stay.
 
 Large hosts are cut into shards of at most SHARD_BYTES of html on average, each with an array of its own,
 so no host meets in one task. Runs that touch open blocks are also looked up by hash among all pages of the
@@ -158,10 +159,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         stay += kind == STAYS
         main += kind == "m"
     close()
-    best = STAYS if any(k == STAYS for _, k in out) else "m" if any(k == "m" for _, k in out) else None
-    if best is None:
-        return out
-    return [(t, STAYS if k == best else GOES) for t, k in out]
+    best = STAYS if any(k == STAYS for _, k in out) else "m"
+    return [(t, STAYS if k == best else GOES if k == GOES else OPEN) for t, k in out]
 
 
 def repeated(hashes: np.ndarray, page: np.ndarray) -> np.ndarray:
