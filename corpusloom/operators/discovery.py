@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a pool that are clustered; the others go to the nearest centroid kept.
-POOL_ROWS, KEPT = 2000, 8
+#: Rows of a pool that are clustered; a larger pool's others go to the nearest centroid kept.
+POOL_ROWS, KEPT = 20_000, 8
+#: Distances that are held at a time.
+BLOCK = 1 << 24
 
 
 def least_size(n: int) -> int:
-    """Members that a cluster needs."""
-    return max(15, min(int(0.003 * min(n, 20_000)), 50))
+    """Members that a cluster among n clustered rows needs."""
+    return max(15, min(int(0.003 * n), 50))
 
 
 def clusters_of(vectors: np.ndarray, least: int) -> np.ndarray:
@@ -25,15 +27,15 @@ def clusters_of(vectors: np.ndarray, least: int) -> np.ndarray:
     if n < max(5, least):
         return np.full(n, -1)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    far = np.clip(1 - unit @ unit.T, 0, 2)
-    core = np.partition(far, min(least - 1, n - 1), axis=1)[:, min(least - 1, n - 1)]
-    reach = np.maximum(far, np.maximum(core[:, None], core[None, :]))
+    at, step = min(least - 1, n - 1), max(1, BLOCK // n)
+    core = np.concatenate([np.partition(np.clip(1 - unit[k : k + step] @ unit.T, 0, 2), at, axis=1)[:, at] for k in range(0, n, step)])
     near, parent, inside = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
     at, edges = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        better = ~inside & (reach[at] < near)
-        near[better], parent[better] = reach[at][better], at
+        reach = np.maximum(np.clip(1 - unit @ unit[at], 0, 2), np.maximum(core, core[at]))
+        better = ~inside & (reach < near)
+        near[better], parent[better] = reach[better], at
         at = int(np.where(inside, np.inf, near).argmin())
         edges.append((near[at], int(parent[at]), at))
     edges.sort()
@@ -65,26 +67,40 @@ def clusters_of(vectors: np.ndarray, least: int) -> np.ndarray:
 def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """pool, key, cluster (-1: none): the KEPT largest clusters of each pool, from 0 by size.
 
-    At most POOL_ROWS rows of a pool, those first by a hash of the key, are clustered in a task; all rows are then
-    assigned where they are read, with the kept centroids, which are few.
+    A pool of at most POOL_ROWS rows with a vector is clustered whole, in a task; of a larger one those first by a
+    hash of the key are, and its other rows are assigned where they are read, with the kept centroids, which are few.
+    Noise, members of clusters not kept, and rows without a pool or vector have none.
     """
-    order = Window.partitionBy(pool).orderBy(F.md5(F.col(key).cast("string")), key)
-    counts = rows.groupBy(pool).agg(F.count("*").alias("_n"))
-    chosen = rows.select(pool, key, vector).join(F.broadcast(counts), pool)
-    chosen = chosen.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0 <= 1.5 * POOL_ROWS / F.col("_n") + 0.01).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= POOL_ROWS)
     kind, pool_kind = (rows.schema[c].dataType.simpleString() for c in (key, pool))
+    order = Window.partitionBy(pool).orderBy(F.md5(F.col(key).cast("string")), key, F.xxhash64(vector))
+    rows = rows.select(pool, key, vector)
+    counts = rows.where(F.col(vector).isNotNull()).groupBy(pool).agg(F.count("*").alias("_n"))
+    rows = rows.join(F.broadcast(counts), pool, "left")
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    near = F.coalesce(F.col(vector).isNotNull() & ((F.col("_n") <= POOL_ROWS) | (share <= 1.5 * POOL_ROWS / F.col("_n") + 0.01)), F.lit(False))
+    ranked = rows.where(near).withColumn("_r", F.row_number().over(order))
 
     def cluster(_: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("_r")
         vectors = np.array(part.column(vector).to_pylist(), float)
-        label = clusters_of(vectors, least_size(part.column("_n")[0].as_py()))
+        label = clusters_of(vectors, least_size(len(vectors)))
         sizes = sorted(((int((label == c).sum()), -c) for c in set(label.tolist()) - {-1}), reverse=True)[:KEPT]
-        kept = [vectors[label == -c].mean(axis=0).tolist() for _, c in sizes]
-        return pa.Table.from_arrays([pa.array([part.column(pool)[0].as_py()] * len(kept), part.schema.field(pool).type), pa.array(range(len(kept)), pa.int32()), pa.array(kept, pa.list_(pa.float64()))], names=[pool, "cluster", "centroid"])
-
-    found = chosen.groupBy(pool).applyInArrow(cluster, f"{pool} {pool_kind}, cluster int, centroid array<double>").collect()
+        own = np.full(len(label), -1)
+        for k, (_size, c) in enumerate(sizes):
+            own[label == -c] = k
+        centroids = [vectors[label == -c].mean(axis=0).tolist() for _size, c in sizes]
+        keys = pa.concat_arrays([part.column(key).combine_chunks(), pa.nulls(len(sizes), part.schema.field(key).type)])
+        made = pa.array([*own.tolist(), *range(len(sizes))], pa.int32())
+        pools = pa.array([part.column(pool)[0].as_py()] * len(made), part.schema.field(pool).type)
+        return pa.Table.from_arrays([pools, keys, made, pa.array([*[None] * len(own), *centroids], pa.list_(pa.float64()))], names=[pool, key, "cluster", "centroid"])
+
+    found = ranked.where(F.col("_r") <= POOL_ROWS).groupBy(pool).applyInArrow(cluster, f"{pool} {pool_kind}, {key} {kind}, cluster int, centroid array<double>")
+    large = counts.where(F.col("_n") > POOL_ROWS).limit(1).count() > 0
     by_pool: dict = {}
-    for r in found:
-        by_pool.setdefault(r[pool], []).append((r["cluster"], r["centroid"]))
+    if large:
+        found = found.persist()  # for the centroids and for the rows
+        for r in found.where("centroid IS NOT NULL").collect():
+            by_pool.setdefault(r[pool], []).append((r["cluster"], r["centroid"]))
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -98,4 +114,7 @@ def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "emb
                 out.append(own[int((c @ np.array(v) / np.maximum(np.linalg.norm(c, axis=1), 1e-12)).argmax())][0])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=[pool, key, "cluster"])
 
-    return rows.select(pool, key, vector).mapInArrow(assign, f"{pool} {pool_kind}, {key} {kind}, cluster int")
+    others = rows.where(~near).select(pool, key, vector)
+    if large:
+        others = others.unionByName(ranked.where(F.col("_r") > POOL_ROWS).select(pool, key, vector))
+    return found.where("centroid IS NULL").drop("centroid").unionByName(others.mapInArrow(assign, f"{pool} {pool_kind}, {key} {kind}, cluster int"))
