@@ -218,12 +218,21 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, less those that are linked with a row kept; all columns stay.
 
-    Of each class one row stays: of those with its least doc_id, the text with the least hash.
+    Of each class one row stays: of those with its least doc_id, the text with the least hash, and of rows that
+    repeat both, any one.
     """
     found = near_duplicates(docs, threshold).where("n_links > 0")
     found = written(found.select("doc_id", "class_id", "th"), "linked-rows")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("th").alias("keep"))
     drop = found.join(first.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class"))).where(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("th") != F.col("keep")))
-    drop = written(drop.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct(), "dropped")
+    drop = drop.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
+    kept = found.join(first.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class"))).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("keep")))
+    again = kept.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.count("*").alias("n")).where("n > 1").select("_doc", "_th")
+    hit = written(drop.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "dropped")
     same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
-    return docs.join(small(drop), same, "left_anti")
+    rest = docs.join(small(hit.drop("again")), same, "left_anti")
+    again = hit.where("again").drop("again")
+    if again.isEmpty():
+        return rest
+    once = docs.join(small(again), same).dropDuplicates(["_doc", "_th"])
+    return rest.unionByName(once.select(*(docs[c] for c in docs.columns)))
