@@ -244,8 +244,8 @@ def ground_truth(spark, d):
 
 @query("SELECT doc_id, 0::INTEGER AS chunk_index, CAST(NULL AS VARCHAR) AS heading, length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))::INTEGER AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND NOT regexp_matches(text, '(^|\\n)#{1,6}\\s+\\S')")
 def chunk_simple(spark, d):
-    """Simple chunks; documents without headings are one."""
-    rows = chunking.chunk_simply(read(spark, d, "documents").where(~F.rlike("text", F.lit(r"(^|\n)#{1,6}\s+\S"))))
+    """Simple chunks of all documents; those without headings are one, and only these are in the SQL."""
+    rows = chunking.chunk_simply(read(spark, d, "documents"))
     return rows.select("doc_id", "chunk_index", "heading", F.length("content").alias("n"))
 
 
