@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows of a pool that are clustered; a larger pool's others go to the nearest centroid kept.
 POOL_ROWS, KEPT = 20_000, 8
 #: Distances that are held at a time.
-BLOCK = 1 << 24
+BLOCK = 1 << 20
 
 
 def least_size(n: int) -> int:
