@@ -5,8 +5,9 @@ length into the first bin with room, which a tournament tree over the bins' capa
 emptiest bins are dissolved into the gaps of the fullest; what is left of a group is cut into sequences
 whose lengths are powers of two, which need no padding.
 
-Groups are drawn at random and have a bounded number of bytes on average, whatever the keys are, so no
-key decides where a row goes. Nulls and empty texts have the end id alone. Repeated rows are packed
+Groups are drawn by a hash of the row and of the partition that holds it, and have a bounded number of bytes
+on average: a row that is repeated ever so often is spread as its partitions are, and a task that runs again
+deals its rows as before, in whatever order they come. Nulls and empty texts have the end id alone. Repeated rows are packed
 each by itself. A text longer than a sequence spans several. Other columns aren't carried.
 """
 
@@ -14,16 +15,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
-MEMORY = 1_000_000
+#: Bytes of text that a task reads, on average.
+TASK_BYTES = 4 * GROUP_BYTES
+#: Parts that a worker remembers; beyond, it starts anew, which changes no id.
+MEMORY = 1_200_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -101,62 +105,95 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
 
 
 class Ids:
-    """Ids of texts by a tokenizer that never joins characters across white space; ids of parts are remembered."""
+    """Ids of texts by a tokenizer that never joins characters across white space; ids of parts are remembered.
+
+    Plain parts are a word and a run of signs, each a unit of its own with one id that ends it. New units go through
+    the vocabulary's merges in one call, without the steps that change nothing on them; a probe of the vocabulary
+    shows that. Other parts, and units that don't come back one by one, take the tokenizer's plain way.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.blank = re.compile(r"[ \t-\r]+")
-        self.control = re.compile(r"[\x1c-\x1f]")
-        # a word and a run of signs, which the tokenizer takes as two units, each with one id that ends a word
         self.plain = re.compile(r"([a-zß-öø-ÿ]*)([.,;:!?#$%&*|()-]*)")
+        vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def parts(self, text: str) -> list[str]:
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return [p for p in self.blank.split(text) if p] if self.control.search(text) else text.split()
-
-    def encode(self, text: str, end: int) -> np.ndarray:
-        """The text's ids and then the end id."""
-        parts, kept = self.parts(text), self.kept
-        try:
-            data = b"".join(map(kept.__getitem__, parts))
-        except KeyError:
-            if len(kept) > MEMORY:
-                kept.clear()
-            self.learn(list({p for p in parts if p not in kept}))
-            data = b"".join(map(kept.__getitem__, parts))
-        return np.frombuffer(data + end.to_bytes(4, "little"), "<u4")
-
-    def learn(self, parts: list[str]) -> None:
-        """Remembers the ids of new parts; plain ones are made in one call, as their units end at known ids."""
-        split, odd = [], []
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = " ".join(sorted(w for t in vocabulary if (w := t.removesuffix("</w>")) and (m := self.plain.fullmatch(w)) and not (m[1] and m[2])))
+        if self._encoded(self.merges, probe) != self._encoded(self.tokenizer, probe):
+            self.merges = self.tokenizer
+
+    @staticmethod
+    def _encoded(tokenizer: object, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text's ids begin and the last one's end.
+
+        Texts are cut at ASCII white space, and each distinct part is looked up once. A-Z are lower-cased before,
+        as the tokenizer does, but for texts that may have a special token.
+        """
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        data = list(map(self.kept.get, distinct))
+        missing = [k for k, x in enumerate(data) if x is None]
+        if missing:
+            found = self.learn([distinct[k] for k in missing])
+            for k in missing:
+                data[k] = found[distinct[k]]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        known = np.frombuffer(b"".join(data), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = known[np.repeat(begins[which] - done[:-1], n) + np.arange(done[-1])]
+        lists = parts.offsets.to_numpy()
+        bounds = done[lists - lists[0]]
+        ids = np.insert(ids, bounds[1:], end)
+        return ids, bounds + np.arange(len(bounds))
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of new parts, which are remembered."""
+        if len(self.kept) > MEMORY:
+            self.kept.clear()
+        kept, match, split, odd, new = self.kept, self.plain.fullmatch, [], [], {}
         for p in parts:
-            m = self.plain.fullmatch(p.lower() if p.isascii() or p.islower() or p.istitle() else p)
-            split.append((p, m[1], m[2])) if m else odd.append(p)
-        new = list({u for _, w, signs in split for u in (w, signs) if u and u not in self.units})
+            m = match(p) or match(p.lower() if p.isascii() or p.istitle() else p)
+            if not m:
+                odd.append(p)
+                continue
+            word, signs = m.groups()
+            if word and word not in kept:
+                new[word] = None
+            if signs:
+                if signs not in kept:
+                    new[signs] = None
+                split.append((p, word, signs))
+            elif p != word:
+                split.append((p, word, signs))
         if new:
-            if len(self.units) > MEMORY:
-                self.units.clear()
-                new = list({u for _, w, signs in split for u in (w, signs) if u})
-            ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
-                raise ValueError("the tokenizer's units differ from those expected")
-            data, at = ids.tobytes(), 0
-            for u, cut in zip(new, cuts.tolist(), strict=True):
-                self.units[u] = data[4 * at : 4 * cut]
-                at = cut
-        for p, w, signs in split:
-            self.kept[p] = (self.units[w] if w else b"") + (self.units[signs] if signs else b"")
+            ids = np.asarray(self._encoded(self.merges, " ".join(new)), "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(new):
+                data = ids.tobytes()
+                kept.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            else:
+                odd, split = parts, []
+        kept[""] = b""
+        for p, word, signs in split:
+            kept[p] = kept[word] + kept[signs]
         if odd:
             for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self.kept[p] = np.asarray(e.ids, "<u4").tobytes()
+                kept[p] = np.asarray(e.ids, "<u4").tobytes()
+        return kept
 
 
 _ids: dict[str, Ids] = {}
@@ -169,20 +206,21 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed:
 
     def rows(_: tuple, part: pa.Table) -> pa.Table:
         ids = _ids.get(path) or _ids.setdefault(path, Ids(path))
-        texts = part.column("text").to_pylist()
-        tokens = [ids.encode(x or "", end) for x in texts]
         group = part.column("_group")[0].as_py()
+        known = [ids.encode(x, end) for x in part.column("text").chunks]
+        tokens = [x[a:b] for x, bounds in known for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         out: dict[str, list[int]] = {k: [] for k in _FIELDS}
         doc = []
         for number, pieces in enumerate(pack([len(x) for x in tokens], capacity)):
             offset = 0
             for i, s, n in pieces:
                 doc.append(i)
-                for k, v in zip(_FIELDS, (s, n, zlib.crc32(tokens[i][s : s + n].tobytes()), len(tokens[i]), (group << 32) + number, offset), strict=True):
+                for k, v in zip(_FIELDS, (s, n, zlib.crc32(tokens[i][s : s + n]), len(tokens[i]), (group << 32) + number, offset), strict=True):
                     out[k].append(v)
                 offset += n
         return pa.Table.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(out[k], pa.int64()) for k in _FIELDS)], names=["doc_id", *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)).alias("_group")
-    return docs.select("doc_id", "text", drawn).groupBy("_group").applyInArrow(rows, f"doc_id {kind}, {SCHEMA}")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), F.spark_partition_id()), F.lit(groups)).alias("_group")
+    tasks = max(1, -(-groups * group_bytes // TASK_BYTES))
+    return docs.select("doc_id", "text", drawn).repartition(tasks, "_group").groupBy("_group").applyInArrow(rows, f"doc_id {kind}, {SCHEMA}")
