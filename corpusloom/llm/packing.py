@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
-#: Bytes of text that a task reads, on average.
-TASK_BYTES = 4 * GROUP_BYTES
+#: A task has one group up to so many tasks, and 16 beyond.
+TASKS = 4096
 #: Parts that a worker remembers; beyond, it starts anew, which changes no id.
 MEMORY = 1_200_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -222,5 +222,5 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), F.spark_partition_id()), F.lit(groups)).alias("_group")
-    tasks = max(1, -(-groups * group_bytes // TASK_BYTES))
+    tasks = max(min(groups, TASKS), groups // 16)
     return docs.select("doc_id", "text", drawn).repartition(tasks, "_group").groupBy("_group").applyInArrow(rows, f"doc_id {kind}, {SCHEMA}")

@@ -48,7 +48,7 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover."""
-    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,9 +160,9 @@ def table_bytes(df: DataFrame) -> int:
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """A table made by written(), marked for broadcast if it is proven small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if table_bytes(df) <= most and df.count() <= rows else df
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
 def batches(rows: dict[str, np.ndarray | list | pa.Array], schema: pa.Schema, most: int = 200_000) -> Iterator[pa.RecordBatch]:
