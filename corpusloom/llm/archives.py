@@ -4,12 +4,15 @@ An ARC file opens with a version block, whose last line names the fields of all
 is a header line, as many bytes as its last field says, and a line end. The converter makes of each a WARC
 record with an identifier, a timestamp, a type and digests. Archives are written through Spark's text
 writer (a record a row, with the blank lines that end a WARC record as line separator), so they can go
-to any store, survive lost executors, and are ordinary gzip files of WARC records.
+to any store, survive lost executors, and are ordinary gzip files of WARC records (a gzip stream a file, not a
+member a record). Identifiers of records depend on the task, the file in it and the place in the file, so they are
+unique, rows that repeat others included, and a task that runs again writes the same.
 
 Nulls: a null html is an empty payload, a null url is written as "-". Records with equal payloads:
 the largest page_id is the response and the others revisit it; a null page_id is smaller than any other.
 Rows that repeat a page_id with the same payload are alike: all responses or all revisits. Empty tables give
-no record. Other columns aren't carried.
+no record. A page's number travels percent-encoded, so any string may be one. Other columns aren't carried, whatever
+their names. Very long pages are taken whole.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +57,10 @@ class ArcRecord:
     body: bytes
 
 
+def _one_line(text: str) -> str:
+    return text.replace("\n", "%0A").replace("\r", "%0D")
+
+
 def write_arc(records: list[ArcRecord], version: int, name: str = "pages.arc", date: str = "19960101000000") -> bytes:
     """An ARC file of the version; fields that a record lacks are "-"."""
     names = ARC_FIELDS[version].split()
@@ -60,7 +69,7 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "pages.arc", d
     out = []
     for r in (ArcRecord(head, block), *records):
         fields = {**{n: "-" for n in names}, **r.fields, "Archive-length": str(len(r.body))}
-        out += [" ".join(fields[n].replace("\n", "%0A").replace("\r", "%0D") for n in names).encode(), b"\n", r.body, b"\n"]
+        out += [" ".join(_one_line(fields[n]) for n in names).encode(), b"\n", r.body, b"\n"]
     return b"".join(out)
 
 
@@ -125,17 +134,20 @@ def http_payload(block: bytes) -> bytes:
     return block.partition(END)[2]
 
 
-def convert(record: ArcRecord) -> WarcRecord:
-    """The WARC record of an ARC record: warcinfo for the version block, response for HTTP, resource for the rest."""
+def convert(record: ArcRecord, first: bool, place: str) -> WarcRecord:
+    """The WARC record of an ARC record: warcinfo for the version block, which is first, response for HTTP, resource for the rest.
+
+    place: of the record among all records, for its identifier.
+    """
     f = record.fields
     url, date = f["URL"], iso_date(f["Archive-date"])
-    if url.startswith("filedesc://"):
+    if first:
         info = f"software: corpusloom\r\nformat: WARC File Format 1.0\r\nsource: {url[11:]}\r\n".encode()
-        return WarcRecord("warcinfo", {"WARC-Record-ID": record_id(url, date), "WARC-Date": date, "Content-Type": "application/warc-fields"}, info)
+        return WarcRecord("warcinfo", {"WARC-Record-ID": record_id(place, url, date), "WARC-Date": date, "Content-Type": "application/warc-fields"}, info)
     http = record.body.startswith(b"HTTP/")
     payload = http_payload(record.body) if http else record.body
     fields = {
-        "WARC-Record-ID": record_id(url, date, base32_sha1(record.body)),
+        "WARC-Record-ID": record_id(place, url, date, base32_sha1(record.body)),
         "WARC-Target-URI": url,
         "WARC-Date": date,
         "WARC-IP-Address": f["IP-address"],
@@ -146,13 +158,15 @@ def convert(record: ArcRecord) -> WarcRecord:
     return WarcRecord("response" if http else "resource", fields, record.body)
 
 
-def as_revisit(record: WarcRecord, refers_to: object) -> WarcRecord:
-    """The record without its payload, as a revisit of the page with equal payload."""
+def as_revisit(record: WarcRecord, refers_to: object, url: str | None) -> WarcRecord:
+    """The record without its payload, as a revisit of the page with equal payload, which has the url and the same date."""
     head = record.block.partition(END)[0] + END
     fields = record.fields | {
         "WARC-Block-Digest": f"sha1:{base32_sha1(head)}",
         "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest",
-        "Refers-To-Page": str(refers_to),
+        "WARC-Refers-To-Target-URI": _one_line(url or "-"),
+        "WARC-Refers-To-Date": record.fields["WARC-Date"],
+        "Refers-To-Page": quote(str(refers_to), safe=""),
     }
     return WarcRecord("revisit", fields, head)
 
@@ -182,15 +196,15 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
 
 
 def _page(page_id: object, url: str | None, html: bytes) -> ArcRecord:
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: {'' if page_id is None else page_id}\r\nContent-Length: {len(html)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: {'' if page_id is None else quote(str(page_id), safe='')}\r\nContent-Length: {len(html)}\r\n\r\n".encode()
     return ArcRecord({"URL": url or "-", "IP-address": "0.0.0.0", "Archive-date": "19960101000000", "Content-type": "text/html", "Result-code": "200"}, head + html)
 
 
 def _converted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages become ARC files of bounded size, these become WARC records."""
-    version = 1
+    version, task, files = 1, TaskContext.get().partitionId(), 0
     for part in parts:
-        ids, urls, refers = (part.column(i).to_pylist() for i in (0, 1, 3))
+        ids, urls, refers, refer_urls = (part.column(i).to_pylist() for i in (0, 1, 3, 4))
         html = part.column(2).cast(pa.binary())
         at = 0
         while at < len(ids):
@@ -200,11 +214,11 @@ def _converted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 arc.append(_page(ids[at], urls[at], body))
                 size += len(body)
                 at += 1
-            out = []
-            for i, r in enumerate(read_arc(write_arc(arc, version))):
-                w = convert(r)
+            out, files = [], files + 1
+            for i, r in enumerate(read_arc(write_arc(arc, version, f"pages-{task}-{files}.arc"))):
+                w = convert(r, not i, f"{task}/{files}/{i}")
                 if i and refers[first + i - 1] is not None:
-                    w = as_revisit(w, refers[first + i - 1])
+                    w = as_revisit(w, refers[first + i - 1], refer_urls[first + i - 1])
                 out.append(w.dump())
             version = 3 - version
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
@@ -226,18 +240,19 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size = int(http["Content-Length"])
                 elif base32_sha1(payload) != digest:
                     raise ValueError(f"the payload of {r.fields['WARC-Record-ID']} differs from its digest")
-                url = r.fields["WARC-Target-URI"]
-                for column, x in zip(rows, (http["X-Page"] or None, size, digest, r.kind, r.fields.get("Refers-To-Page"), None if url == "-" else url), strict=True):
+                url, refers = r.fields["WARC-Target-URI"], r.fields.get("Refers-To-Page")
+                for column, x in zip(rows, (unquote(http["X-Page"]) or None, size, digest, r.kind, refers and unquote(refers), None if url == "-" else url), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """payload_sha1 and response (the largest page_id) of the payloads that several rows have."""
+    """payload_sha1, response (the largest page_id) and response_url of the payloads that several rows have."""
+    top = F.max(F.struct("page_id", "url"))
     return (
-        pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("payload_sha1"))
-        .groupBy("payload_sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-        .where("n > 1").select("payload_sha1", "response")
+        pages.select("page_id", "url", F.sha1(F.coalesce("html", F.lit(""))).alias("payload_sha1"))
+        .groupBy("payload_sha1").agg(top.alias("top"), F.count("*").alias("n"))
+        .where("n > 1").select("payload_sha1", F.col("top.page_id").alias("response"), F.col("top.url").alias("response_url"))
     )
 
 
@@ -250,7 +265,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     size = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0))).alias("n")).first()["n"] or 0
     same = small(written(revisits(pages), "revisits"))
     refers = F.when(F.col("response").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("response")).alias("refers_to")
-    rows = pages.withColumn("payload_sha1", F.sha1(F.coalesce("html", F.lit("")))).join(same, "payload_sha1", "left").select("page_id", "url", "html", refers)
+    rows = pages.withColumn("payload_sha1", F.sha1(F.coalesce("html", F.lit("")))).join(same, "payload_sha1", "left").select("page_id", "url", "html", refers, "response_url")
     records = rows.mapInArrow(_converted, "record binary")
     (
         records.select(F.col("record").cast("string").alias("value"))

@@ -160,8 +160,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a hit, with all their columns."""
     found = hits(docs, *item_windows(benchmark)).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    found = small(written(found, "contaminated"))
     same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_th"])
-    return docs.join(small(written(found, "contaminated")), same, "left_anti")
+    return docs.join(found, same, "left_anti")
 
 
 #: The contract in DuckDB's SQL: windows as strings, compared exactly.

@@ -6,7 +6,8 @@ mandatory words stand exactly, from any word on. Words are those of shared.FOLD,
 and line breaks between words don't matter.
 
 Nulls and empty texts have no words, no labels, score 0 and null positions. Repeated rows give repeated
-results. Texts are scanned whole; other columns of the input aren't carried.
+results; of matches with equal wording the earlier one, then the longer one wins. An empty table gives no row. Texts
+of any length are scanned whole; other columns of the input aren't carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,38 @@ from .shared import FOLD, Words, chunks, text_bytes
 #: The phrases that always count, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: Whole texts of public licences, with their replaceable names.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall <1,12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <1,8> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <1,8> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = "neither the name of <1,12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright <1,6> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
 #: Wording of public licences and of notices that point to them.
 TEMPLATES = (
+    ("mit", f"[the] [mit] [license] [<0,2> copyright [c] <0,12> [all rights reserved]] {MIT}"),
+    ("isc", f"[isc license] [copyright [c] <0,12>] {ISC}"),
+    ("bsd-2-clause", f"[copyright [c] <0,12> [all rights reserved]] {BSD} {BSD_END}"),
+    ("bsd-3-clause", f"[copyright [c] <0,12> [all rights reserved]] {BSD} [3] {BSD_NAMES} {BSD_END}"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "[this <0,4> is] [released|licensed|distributed|available] under the [terms of the] mit license"),
     ("apache-2.0", "licensed under the apache license version 2 0 [the license] [you may not use this file except in compliance with the license]"),
@@ -141,6 +172,28 @@ class Automaton:
         return end
 
 
+class Spans:
+    """Spans with known first places: whether one of those added holds another, each step in the logarithm of their number."""
+
+    def __init__(self, firsts: list[int]):
+        self.at = {x: k + 1 for k, x in enumerate(firsts)}
+        self.last = [-1] * (len(firsts) + 1)  # a tree of maxima over the spans that begin at or before a place
+
+    def add(self, first: int, last: int) -> None:
+        k = self.at[first]
+        while k < len(self.last):
+            self.last[k] = max(self.last[k], last)
+            k += k & -k
+
+    def inside(self, first: int, last: int) -> bool:
+        k = self.at[first]
+        while k:
+            if self.last[k] >= last:
+                return True
+            k -= k & -k
+        return False
+
+
 class Scanner:
     """All templates together, found by a word that each must have and then by their first words."""
 
@@ -167,10 +220,10 @@ class Scanner:
                 for i in sorted({i for w in a.first for i in places.get(w, ())}):
                     if (end := a.match(words, i)) > i:
                         found.append((a.mandatory, -i, end, label))
-        exact, taken = 0, []
+        exact, taken = 0, Spans(sorted({-f[1] for f in found}))
         for mandatory, i, end, label in sorted(found, reverse=True):  # more wording wins over less within its span
-            if not any(first <= -i and end <= last for first, last in taken):
-                taken.append((-i, end))
+            if not taken.inside(-i, end):
+                taken.add(-i, end)
                 labels.add(label)
                 exact = max(exact, mandatory)
         score = 0.5 if base_labels else 0.0

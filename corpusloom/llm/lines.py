@@ -8,9 +8,10 @@ the cells of their prefix words; common words' groups are cut into blocks by the
 position bounds, and a bound from 128-bit parity maps, rule pairs out; what remains is tied into components
 in which all pairs are verified exactly.
 
-Nulls, empty texts and lines without a word are left alone. Lines of less than four different words are
-similar to equal sets only. Rows that repeat a doc_id with the same text are one document: they lose the
-same lines. Lines of any length are taken whole.
+Nulls, empty texts and lines without a word are left alone. Lines of too few different words for the threshold
+(less than four at 0.8) are similar to equal sets only. Rows that repeat a doc_id with the same text are one
+document: they lose the same lines. Lines of any length are taken whole. Words are 64-bit hashes. Empty tables give
+no row. Other columns of docs stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .links import by_cell, grouped, least_labels, verified
 from .near import set_id
-from .shared import FOLD, Words, chunks, mix, small, text_bytes, written
+from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, written
 
 #: Counters of the sketch, and of each block that it travels in.
 SKETCH, PAGE = 1 << 22, 1 << 16
@@ -186,6 +188,11 @@ def parity(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 _BODY = np.dtype([("id", "<u8"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
 
 
+def least_size(four: int, five: int) -> int:
+    """The fewest words of a line that another set can be similar to at four/five: n of n + 1 must reach it."""
+    return -(-four // (five - four)) if five > four else 1 << 31
+
+
 def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFrame:
     """cell and body (see _BODY) for each prefix word of each line.
 
@@ -193,7 +200,7 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
     component, no more, as names of 128 bits and the sets themselves decide later.
     """
     sent = docs.sparkSession.sparkContext.broadcast(logs)  # SKETCH bytes
-    kind = _BODY
+    kind, fewest = _BODY, least_size(four, five)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, fresh = sent.value, _Fresh()
@@ -202,7 +209,7 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
             for a, b in chunks(texts):
                 lines = Lines(texts[a:b])
                 names = lines.names()
-                new = np.flatnonzero(fresh(names) & (lines.sizes >= 4)) if names else np.zeros(0, np.int64)
+                new = np.flatnonzero(fresh(names) & (lines.sizes >= fewest)) if names else np.zeros(0, np.int64)
                 if not len(new):
                     continue
                 keep = np.zeros(len(names), bool)
@@ -308,6 +315,8 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, th and the sorted numbers (from 0) of the lines that go, for each document that loses any."""
+    if not 0 < threshold <= 1:
+        raise ValueError("thresholds are above 0 and at most 1")
     four, five = round(threshold * 100), 100
     scanned = written(_scanned(docs), "lines")
     lines = scanned.where("id IS NOT NULL").drop("counts")
@@ -325,12 +334,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("number")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, their texts less the lines that go, and ``removed``, the numbers of these (null: none)."""
+def _without(docs: DataFrame, threshold: float, into: str | None) -> DataFrame:
     gone = written(removed_lines(docs, threshold), "removed")
     gone = small(gone.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "removed"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
-    rows = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), F.col("removed").alias("_removed"))
+    rows = docs.join(gone, same_row(docs, gone), "left").select(*(docs[f"`{c}`"] for c in docs.columns), gone["removed"].alias("_gone_lines"))
     at = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,6 +347,22 @@ def without_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 if of:
                     lost = set(of)
                     texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in lost)
-            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+            made = part.columns if into else part.columns[:-1]
+            made[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    names = [*docs.columns, into] if into else docs.columns
+    schema = StructType([*docs.schema.fields, *([StructField(into, ArrayType(IntegerType()))] if into else [])])
+    return rows.mapInArrow(run, schema)
+
+
+def without_lines(docs: DataFrame, threshold: float = 0.8, into: str = "removed") -> DataFrame:
+    """The rows of docs, their texts less the lines that go, and a new column with the numbers of these (null: none)."""
+    if into in docs.columns:
+        raise ValueError(f"the table has a column {into} already")
+    return _without(docs, threshold, into)
+
 
-    return rows.mapInArrow(run, rows.schema).withColumnRenamed("_removed", "removed")
+def deduped(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows and columns of docs, their texts less the lines that go."""
+    return _without(docs, threshold, None)

@@ -77,23 +77,23 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and the least id of its component, from edges a, b; nodes without an edge aren't there.
 
     Large-star and small-star steps alternate until nothing changes; each step is a minimum by node, made
-    before the shuffle, and a join back. The edges never outnumber those given.
+    before the shuffle and written, and a join back. The minima are broadcast where they are proven small; else
+    both sides of the join are plain shuffles, so adaptive execution splits a node with very many edges. The
+    edges never outnumber those given.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = written(edges, "edges")
-    seen = None
-    for _ in range(rounds):
+    edges, seen = written(edges, "edges"), None
+    while True:
         sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = small(written(sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"))
         large = sym.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        tied = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        tied = large.join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(least.select("a", F.col("m").alias("b")).unionByName(tied).distinct(), "small-star")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (now["n"], now["s"]) == seen or not now["n"]:

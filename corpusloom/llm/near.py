@@ -6,11 +6,12 @@ once the posterior probability that its similarity reaches the threshold is belo
 ties candidates into components, and within each component all pairs are verified exactly, by their sets.
 
 32 bands of 4 values miss a pair at similarity 0.8 with probability 5e-8, and one above with less;
-TOLERANCE bounds what pruning may drop. Links are exact counts.
+TOLERANCE bounds what pruning may drop. Links are exact counts over sets of 64-bit hashes.
 
 Nulls, and texts without words, are linked with nothing. Texts of one to four words are one run. Rows that
 repeat a doc_id are rows of their own; class_id is the least doc_id of the class (null if it has none).
-Very long texts are taken whole.
+Very long texts are taken whole. Empty tables give no row. Other columns of docs stay in one_of_each(), whatever
+their names, and aren't carried elsewhere.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import by_cell, cells, components, grouped, least_labels, verified
-from .shared import FOLD, Words, chunks, mix, small, text_bytes, written
+from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, written
 
 SHINGLE = 5
 HASHES, BAND = 128, 4
@@ -172,6 +173,8 @@ def _pruned(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """For each row: doc_id, class_id (the least doc_id that links connect it with) and n_links, the rows linked with it."""
+    if not 0.8 <= threshold <= 1:
+        raise ValueError("the bands are made for thresholds from 0.8 to 1")
     four, five = round(threshold * 100), 100
     rows = written(_signed(docs), "signed")
     classes = written(
@@ -190,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     linked = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = written(linked.join(classes.select("id", "copies", F.col("first.doc_id").alias("doc")), "id").join(links, "id"), "linked")
     least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    linked = written(named.join(least, "root").select("id", "class_id", "links"), "classed")
+    linked = written(named.join(small(written(least, "class-ids")), "root").select("id", "class_id", "links"), "classed")
     whole = classes.select("id", "copies", F.col("first.doc_id").alias("doc")).join(small(linked), "id", "left")
     whole = whole.select("id", F.when(F.col("links").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     many = written(whole.where("n_links > 0"), "many")
@@ -228,11 +231,11 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     drop = drop.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
     kept = found.join(first.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class"))).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("keep")))
     again = kept.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.count("*").alias("n")).where("n > 1").select("_doc", "_th")
-    hit = written(drop.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "dropped")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
-    rest = docs.join(small(hit.drop("again")), same, "left_anti")
-    again = hit.where("again").drop("again")
+    hit = small(written(drop.unionByName(again), "dropped"))
+    rest = docs.join(hit, same_row(docs, hit), "left_anti")
+    again = written(again, "again")
     if again.isEmpty():
         return rest
-    once = docs.join(small(again), same).dropDuplicates(["_doc", "_th"])
-    return rest.unionByName(once.select(*(docs[c] for c in docs.columns)))
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    once = docs.join(small(again), same_row(docs, again)).select(again["_doc"], again["_th"], whole).groupBy("_doc", "_th").agg(F.first("row").alias("row"))
+    return rest.unionByName(once.select("row.*"))

@@ -1,8 +1,7 @@
 """Main text of web pages, from their markup and from what repeats across the pages of a host.
 
-A page is cut into blocks. The words of a host's pages are put in one stream, whose suffixes are sorted
-by their first RUN words; runs that begin suffixes of distinct pages repeat, and longer repeats are
-chains of them. Markup decides first: blocks in navigation, footers, forms, adverts and the like go; blocks of an
+A page is cut into blocks. The words of a host's pages are put in one stream, whose suffixes are sorted; neighbours that
+share at least RUN words and stand on distinct pages begin runs that repeat. Markup decides first: blocks in navigation, footers, forms, adverts and the like go; blocks of an
 article (without one, of main) stay, as passages are rightly quoted on several pages. Elsewhere, repeated runs go and
 unique runs stay.
 
@@ -11,13 +10,15 @@ so no host meets in one task. Runs that touch open blocks are also looked up by
 host, so what counts as repeated doesn't depend on the shards.
 
 Nulls and empty pages have no text. A null url is a host of its own. Rows that repeat a page_id are pages
-of their own, and do not count as distinct if the url is equal too. Very long pages are taken whole.
+of their own, and do not count as distinct if the url is equal too. Very long pages are taken whole. An empty
+table gives no row. Other columns aren't carried, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .links import by_cell
 from .shared import FOLD, Words, mix, small, text_bytes, written
 
-#: Words of the shortest run that counts as repeated: a power of two.
+#: Words of the shortest run that counts as repeated.
 RUN = 8
 SHARD_BYTES = 1 << 20
 GOES, STAYS, OPEN = "-", "+", "?"
@@ -72,6 +73,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     """The blocks of a page that have text, in order, each with GOES, STAYS or OPEN."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open elements and what they make of their text
+    opened: Counter[str] = Counter()  # of each name
     words: list[str] = []
     at, size = 0, len(page)
     drop = stay = main = 0
@@ -85,7 +87,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
     def pop() -> None:
         nonlocal drop, stay, main
-        _, kind = stack.pop()
+        name, kind = stack.pop()
+        opened[name] -= 1
         drop -= kind == GOES
         stay -= kind == STAYS
         main -= kind == "m"
@@ -113,7 +116,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if name in _INLINE and not ends and "class" not in m[3] and "hidden" not in m[3]:
             continue
-        if name in _INLINE and ends and (not stack or all(n != name for n, _ in stack)):
+        if ends and not opened[name]:
+            if name not in _INLINE:
+                close()
             continue
         if not ends and name in _RAW:
             if m[3].endswith("/") and name in ("svg", "math"):
@@ -132,8 +137,6 @@ def blocks(page: str) -> list[tuple[str, str]]:
                             close()
                             for _ in range(words_kept):
                                 pop()
-                        else:
-                            del stack[depth]
                     else:
                         while len(stack) > depth:
                             pop()
@@ -155,6 +158,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 continue
             close()
         stack.append((name, kind))
+        opened[name] += 1
         drop += kind == GOES
         stay += kind == STAYS
         main += kind == "m"
@@ -163,43 +167,60 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return [(t, STAYS if k == best else GOES if k == GOES else OPEN) for t, k in out]
 
 
-def repeated(hashes: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """Which words of a stream lie in a run of RUN words that two distinct pages have.
+def suffix_array(hashes: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a stream of words in order, and how many words each shares with the one before it.
 
-    hashes: of the words; page: the number of each word's page, never falling. The suffixes are sorted by
-    ranks that stand for one, two, four and RUN words.
+    hashes: of the words; page: the number of each word's page, never falling. A suffix ends with its page. Ranks
+    stand for one word, then two, four and so on, until all differ or no page is longer; words shared by neighbours
+    are counted by the same ranks, from the longest to one word.
     """
     n = len(hashes)
-    cover = np.zeros(n, bool)
-    if n < RUN:
-        return cover
-    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
-    size = 1
-    while size < RUN:
+    levels = [np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1]
+    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1], [True]]))).max())
+    order, size, classes = np.argsort(levels[0], kind="stable"), 1, 0
+    while size < longest and classes < n:
+        rank = levels[-1]
         later = np.zeros(n, np.int64)
         later[:-size] = np.where(page[size:] == page[:-size], rank[size:], 0)
         key = rank * (n + 2) + later  # at most (n + 1) * (n + 2)
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         new = np.ones(n, np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        size *= 2
-    whole = np.zeros(n, bool)
-    whole[: n - RUN + 1] = page[RUN - 1 :] == page[: n - RUN + 1]
-    suffix = np.argsort(rank, kind="stable")
-    suffix = suffix[whole[suffix]]  # by first words, then by place
-    begins = np.flatnonzero(np.concatenate([[True], rank[suffix[1:]] != rank[suffix[:-1]]]))
-    if not len(suffix):
+        classes, size = int(new.sum()), size * 2
+        levels.append(rank)
+    left = np.searchsorted(page, page, "right") - np.arange(n)  # words to the page's end
+    common, x, y = np.zeros(n, np.int64), order[1:], order[:-1]
+    most = np.minimum(left[x], left[y])
+    for k in range(len(levels) - 1, -1, -1):
+        done = common[1:]
+        fits = done + (1 << k) <= most
+        i, j = np.where(fits, x + done, 0), np.where(fits, y + done, 0)
+        common[1:] += np.where(fits & (levels[k][i] == levels[k][j]), 1 << k, 0)
+    return order, common
+
+
+def repeated(hashes: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words of a stream lie in a run of at least so many words that two distinct pages have.
+
+    Neighbours in the suffix array that share so many words are one group; the suffixes of a group that has two
+    pages begin repeated runs.
+    """
+    n = len(hashes)
+    cover = np.zeros(n, bool)
+    if n < run:
         return cover
-    ends = np.concatenate([begins[1:], [len(suffix)]])
-    several = page[suffix[ends - 1]] != page[suffix[begins]]
-    hit = suffix[np.repeat(several, ends - begins)]
-    starts = np.zeros(n, np.int64)
-    starts[hit] = 1
-    seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(starts)])
-    low = np.maximum(np.arange(n) - RUN + 1, 0)
-    return seen[np.arange(n) + 1] > seen[low]
+    suffix, common = suffix_array(hashes, page)
+    group = np.cumsum(common < run) - 1
+    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    most = np.full(len(least), -1, np.int64)
+    np.minimum.at(least, group, page[suffix])
+    np.maximum.at(most, group, page[suffix])
+    starts = np.zeros(n + run, np.int64)
+    starts[run + suffix[(least < most)[group]]] = 1
+    seen = np.cumsum(starts)
+    return seen[run:] > seen[:n]
 
 
 def runs(pages: list[bytes], host: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:

@@ -70,9 +70,9 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, and the verdict of the current policy."""
-    rows = rules.ledger(_read(spark, sf_dir, "documents"))
+    rows = rules.verdicts(rules.ledger(_read(spark, sf_dir, "documents")))
     base = ~rules.passes("failed", rules.BASE_MASK)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.passes("failed", rules.POLICIES[rules.CURRENT]).alias("kept"), "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.passes("failed", rules.POLICIES[rules.CURRENT]).alias("kept"), "failed", *(f"kept_v{v}" for v in rules.POLICIES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,8 +3,12 @@
 A policy is a version number and a mask of rules. Verdicts, and what would change if a rule were left
 out, come from the bits alone; the texts aren't read again.
 
+n_marked_words counts words without a letter or digit, and those that end in two or more of "!" and "?". Words and
+windows of words are told apart by 64-bit hashes.
+
 Nulls: a null text has no words and fails too_few_words. Empty texts likewise. Repeated rows give
-repeated ledger rows; no row depends on another. Other columns of the input aren't carried.
+repeated ledger rows; no row depends on another. Very long texts are taken whole. An empty table gives no row. Other
+columns of the input stay in keep_good(), whatever their names, and aren't carried elsewhere.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, chunks, text_bytes
+from .shared import FOLD, SPACED, Words, chunks, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marked_words", "longest_word", "n_echo_words")
 _SYMBOLS = np.zeros(256, bool)
@@ -73,9 +77,10 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, t.owner, length)
     out["longest_word"] = longest
-    marked = raw[t.ends - 1] == 33
-    marked[length > 1] &= raw[t.ends[length > 1] - 2] == 33
-    marked |= (length == 1) & (raw[t.starts] == 124)
+    shout = (raw == 33) | (raw == 63)
+    marked = shout[t.ends - 1] & shout[np.maximum(t.ends - 2, t.starts)] & (length > 1)
+    written = np.concatenate([np.zeros(1, np.int64), np.cumsum(FOLD[raw] != 0)])  # letters, digits and bytes beyond ASCII
+    marked |= written[t.ends] == written[t.starts]
     out["n_marked_words"] = np.bincount(t.owner, weights=marked, minlength=n).astype(np.int64)
     dup, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, text in enumerate(texts):

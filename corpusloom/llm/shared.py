@@ -1,8 +1,13 @@
-"""Word tables over UTF-8 buffers, and tables in the folder that a cluster's machines share."""
+"""Word tables over UTF-8 buffers, and tables in the folder that a cluster's machines share.
+
+Words are told apart by 64-bit hashes, polynomials for short words. As those have known collisions for long
+ones, words above LONG bytes have a cryptographic hash.
+"""
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -10,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: A word of the lower-cased text: digits, a-z and all bytes of non-ASCII characters. 0: a separator.
 FOLD = np.zeros(256, np.uint8)
@@ -50,6 +56,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes of the longest word whose hash is a polynomial.
+LONG = 32
+
+
 class Words:
     """The words of several texts: for each its text, first and end byte, and a hash of its folded bytes.
 
@@ -76,6 +86,8 @@ class Words:
             with np.errstate(over="ignore"):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.folded * power[: len(self.raw)])])
                 self.hashes = mix((total[self.ends] - total[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            for k in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+                self.hashes[k] = int.from_bytes(hashlib.blake2b(self.folded[self.starts[k] : self.ends[k]].tobytes(), digest_size=8).digest(), "little")
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each run of k words of a text, and the run's hash."""
@@ -116,9 +128,11 @@ def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all machines see: spark.checkpoint.dir, or, where it is unset and all run on one machine, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -156,13 +170,34 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
-#: A table is broadcast below so many rows and bytes of its files.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
+#: A table is broadcast below so many rows, bytes of its files, and bytes of its values in memory.
+BROADCAST_ROWS, BROADCAST_BYTES, BROADCAST_MEMORY = 500_000, 8 << 20, 64 << 20
+
+
+def width(c: Column, kind: DataType) -> Column:
+    """The bytes that a value takes in memory, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(16).cast("long"), lambda total, x: total + width(x, kind.elementType))
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, StructType):
+        return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
 
 
 def small(df: DataFrame) -> DataFrame:
     """A table made by written(), marked for broadcast if it is proven small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
+    if table_bytes(df) > BROADCAST_BYTES:
+        return df
+    size = df.agg(F.count("*").alias("rows"), F.sum(sum((width(df[f.name], f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_MEMORY else df
+
+
+def same_row(docs: DataFrame, named: DataFrame) -> Column:
+    """Whether a row of docs is the one that ``_doc`` (its doc_id) and ``_th`` (its text's hash) of another table name."""
+    return docs["doc_id"].eqNullSafe(named["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == named["_th"])
 
 
 def batches(rows: dict[str, np.ndarray | list | pa.Array], schema: pa.Schema, most: int = 200_000) -> Iterator[pa.RecordBatch]:

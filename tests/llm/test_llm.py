@@ -181,8 +181,12 @@ def test_lines(docs, empty, corpus):
                     places.append(w)
         got = {(r["doc_id"], k) for r in lines.removed_lines(t).collect() for k in r["removed"]}
         assert got == gone
-    out = lines.without_lines(docs.drop("removed"))
-    assert out.columns == [*docs.drop("removed").columns, "removed"] and out.count() == docs.count()
+    out = lines.without_lines(docs, into="numbers")
+    assert out.columns == [*docs.columns, "numbers"] and out.count() == docs.count()
+    with pytest.raises(ValueError):
+        lines.without_lines(docs)
+    out = {r["doc_id"]: r for r in lines.deduped(docs).collect()}
+    assert list(out[7].asDict()) == docs.columns and out[7]["removed"] == "x" and out[5]["text"].count("\n") == 1
     assert plain(lines.removed_lines(empty)) == []
 
 
@@ -223,7 +227,7 @@ def test_arc_versions():
     for version in (1, 2):
         back = list(archives.read_arc(archives.write_arc(records, version)))
         assert [r.body for r in back[1:]] == [r.body for r in records]
-        w = [archives.convert(r) for r in back]
+        w = [archives.convert(r, not k, str(k)) for k, r in enumerate(back)]
         assert [x.kind for x in w] == ["warcinfo", "response", "resource"]
         assert w[1].fields["WARC-Date"] == "2001-02-03T00:00:00Z" and w[1].fields["WARC-Target-URI"] == "http://x/a b"
         assert w[1].fields["WARC-Payload-Digest"] == "sha1:" + archives.base32_sha1(b"hi")
