@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages: rules, line dedup, near duplicates, decontamination, packing."""
+"""A corpus pipeline of five stages: rules, line dedup, near duplicates, decontamination, packing.
+
+Nulls and empty texts fail the first stage. Columns of documents stay until packing, whatever their names. Rows that
+repeat doc_id and text are one row after the third stage. An empty table gives no piece. Very long texts are whole in
+every stage. Ties are broken as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that resemble a line before."""
-    return lines.without_lines(docs).drop("removed")
+    return lines.deduped(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
