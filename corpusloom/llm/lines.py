@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -342,13 +343,15 @@ def _without(docs: DataFrame, threshold: float, into: str | None) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, removed = part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-            for k, of in enumerate(removed):
-                if of:
-                    lost = set(of)
-                    texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in lost)
+            removed = part.column(part.num_columns - 1)
+            hit = pc.greater(pc.fill_null(pc.list_value_length(removed), 0), 0)
+            texts = []
+            for text, of in zip(part.column(at).filter(hit).to_pylist(), removed.filter(hit).to_pylist(), strict=True):
+                lost = set(of)
+                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in lost))
             made = part.columns if into else part.columns[:-1]
-            made[at] = pa.array(texts, part.schema.field(at).type)
+            if texts:
+                made[at] = pc.replace_with_mask(part.column(at), hit, pa.array(texts, part.schema.field(at).type))
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     names = [*docs.columns, into] if into else docs.columns
