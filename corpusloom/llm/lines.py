@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .links import by_cell, grouped, least_labels, verified
 from .near import set_id
-from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, written
+from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, tidy, written
 
 #: Counters of the sketch, and of each block that it travels in.
 SKETCH, PAGE = 1 << 22, 1 << 16
@@ -145,7 +145,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, th long, number int, id binary, name long, n int, counts binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, th long, number int, id binary, name long, n int, counts binary")
 
 
 def _packed(page: np.ndarray) -> bytes:
@@ -169,7 +169,7 @@ def _sketch(pages: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(logs, pa.binary())], names=["number", "logs"])
 
     out = np.zeros(SKETCH, np.uint8)
-    for r in pages.repartition("number").mapInArrow(run, "number int, logs binary").collect():
+    for r in pages.repartition("number").mapInArrow(tidy(run), "number int, logs binary").collect():
         out[r["number"] * PAGE : (r["number"] + 1) * PAGE] = np.frombuffer(r["logs"], np.uint8)
     return out
 
@@ -248,7 +248,7 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
                     data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize), len(some), [None, pa.py_buffer(some.tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 100_000]), data], names=["cell", "body"])
 
-    return docs.select("text").mapInArrow(run, "cell long, body binary")
+    return docs.select("text").mapInArrow(tidy(run), "cell long, body binary")
 
 
 def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(wanted, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "numbers")
-    return rows.mapInArrow(run, "id binary, set binary").join(small(chosen.select("id", "root", "n_group", F.lit(1).cast("long").alias("copies"), F.col("first").alias("ord"))), "id")
+    return rows.mapInArrow(tidy(run), "id binary, set binary").join(small(chosen.select("id", "root", "n_group", F.lit(1).cast("long").alias("copies"), F.col("first").alias("ord"))), "id")
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -356,7 +356,7 @@ def _without(docs: DataFrame, threshold: float, into: str | None) -> DataFrame:
 
     names = [*docs.columns, into] if into else docs.columns
     schema = StructType([*docs.schema.fields, *([StructField(into, ArrayType(IntegerType()))] if into else [])])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def without_lines(docs: DataFrame, threshold: float = 0.8, into: str = "removed") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import small, tidy, written
 
 
 def cells(members: DataFrame, group: str, size: str, key: str, block: int) -> DataFrame:
@@ -59,7 +59,7 @@ def by_cell(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.
         yield from work(table, begins)
 
     dealt = rows.repartition(partitions, "cell") if partitions else rows.repartition("cell")
-    return dealt.sortWithinPartitions("cell").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("cell").mapInArrow(tidy(run), schema)
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import by_cell, cells, components, grouped, least_labels, verified
-from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, written
+from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, tidy, written
 
 SHINGLE = 5
 HASHES, BAND = 128, 4
@@ -104,7 +104,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n int, id binary, sig binary, bands binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, th long, n int, id binary, sig binary, bands binary")
 
 
 def _keys(rows: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _keys(rows: DataFrame) -> DataFrame:
                 bands = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bands), piece.column(0).take(pa.array(np.repeat(np.arange(piece.num_rows), per)))], names=["key", "id"])
 
-    return rows.select("id", "bands").mapInArrow(run, "key long, id binary")
+    return rows.select("id", "bands").mapInArrow(tidy(run), "key long, id binary")
 
 
 def least_matches(threshold: float, compared: int, tolerance: float = TOLERANCE) -> int:
@@ -215,7 +215,7 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     wanted = small(written(chosen.select(F.col("first.doc_id").alias("_doc"), F.col("first.th").alias("_th")), "wanted"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(wanted, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
-    return rows.mapInArrow(run, "id binary, set binary").join(small(chosen.select("id", "root", "n_group", "copies", F.col("first").alias("ord"))), "id")
+    return rows.mapInArrow(tidy(run), "id binary, set binary").join(small(chosen.select("id", "root", "n_group", "copies", F.col("first").alias("ord"))), "id")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

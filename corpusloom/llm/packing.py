@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trim
+
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
 #: A task has one group up to so many tasks, and 16 beyond.
@@ -218,6 +220,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed:
                 for k, v in zip(_FIELDS, (s, n, zlib.crc32(tokens[i][s : s + n]), len(tokens[i]), (group << 32) + number, offset), strict=True):
                     out[k].append(v)
                 offset += n
+        trim()
         return pa.Table.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(out[k], pa.int64()) for k in _FIELDS)], names=["doc_id", *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FOLD, SPACED, Words, chunks, text_bytes
+from .shared import FOLD, SPACED, Words, chunks, text_bytes, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marked_words", "longest_word", "n_echo_words")
 _SYMBOLS = np.zeros(256, bool)
@@ -130,7 +130,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{k} long" for k in (*MEASURES, "failed"))
-    return docs.select("doc_id", "text").mapInArrow(measured, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(measured), schema)
 
 
 def passes(failed: Column | str, mask: int) -> Column:
@@ -179,4 +179,4 @@ def keep_good(docs: DataFrame, mask: int = POLICIES[CURRENT]) -> DataFrame:
                 keep[a:b] = (failures(measure(texts[a:b])) & mask) == 0
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(kept, schema)
+    return docs.mapInArrow(tidy(kept), schema)

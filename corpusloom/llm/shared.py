@@ -7,11 +7,13 @@ ones, words above LONG bytes have a cryptographic hash.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,26 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _JOIN = np.uint64(0x9FB21C651E98DF25)
 _tables: list[np.ndarray] = []
 
+def trim() -> None:
+    """Gives memory that is free back to the system, as workers live on and share a machine's memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that trims at its end."""
+
+    @functools.wraps(run)
+    def wrapped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        trim()
+
+    return wrapped
+
+
 #: Texts are taken together until they have so many bytes; a longer text stands alone.
 CHUNK = 1 << 18
 
