@@ -127,8 +127,9 @@ def salvaged_json(text: Column) -> Column:
 
 
 def count_label(n: Column) -> Column:
-    """3000 as 3k, 1500 as 1.5k, smaller numbers as they are."""
-    return F.when(n % 1000 == 0, F.concat((n / 1000).cast("long").cast("string"), F.lit("k"))).when(n > 1000, F.concat(F.regexp_replace(F.format_number(n / 1000, 1), ",", ""), F.lit("k"))).otherwise(n.cast("string"))
+    """3000 as 3k, 1500 as 1.5k, numbers below 1000 as they are."""
+    whole = F.concat((n / 1000).cast("long").cast("string"), F.lit("k"))
+    return F.when(n < 1000, n.cast("string")).when(n % 1000 == 0, whole).otherwise(F.concat(F.regexp_replace(F.format_number(n / 1000, 1), ",", ""), F.lit("k")))
 
 
 def tagged(path: Column, rules: dict[str, str], defaults: list[str]) -> Column:
@@ -141,3 +142,48 @@ def tagged(path: Column, rules: dict[str, str], defaults: list[str]) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Percent with two digits; 0 where the whole is 0."""
     return F.coalesce(F.round(F.try_divide(part * 100.0, whole), 2), F.lit(0.0))
+
+
+def delta(new: Column, old: Column) -> Column:
+    """A change with its sign and two digits."""
+    return F.format_string("%+.2f", (new - old).cast("double"))
+
+
+def plain_embedding_text(title: Column, path: Column, content: Column) -> Column:
+    """Title, path of headings and content by line, whatever repeats."""
+    return F.concat(title, F.lit("\n"), F.coalesce(path, F.lit("")), F.lit("\n"), content)
+
+
+def snake_key(name: Column) -> Column:
+    """Lower case, other signs as one underscore, none at the ends; "topic" if nothing is left."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(key, F.lit("")), F.lit("topic"))
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path without empty parts, "." and ".."."""
+    return F.array_join(F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: ~p.isin("", ".", "..")), "/")
+
+
+def title_and_body(text: Column) -> tuple[Column, Column]:
+    """The first line that isn't blank, stripped, and the rest, stripped; line ends are made one."""
+    lined = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
+    return strip(F.regexp_extract(lined, r"(?U)^\s*([^\n]*)", 1)), strip(F.regexp_replace(lined, r"(?U)^\s*[^\n]*", ""))
+
+
+def named_title(text: Column, path: Column) -> Column:
+    """The first line; where it is blank, the file's name after "__" in title case."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    words = F.regexp_replace(F.element_at(F.split(name, "__"), -1), "[-_]+", " ")
+    return F.coalesce(F.nullif(first_line(text), F.lit("")), F.initcap(words))
+
+
+def output_path(path: Column, root: str, suffix: str, flat: bool = False) -> Column:
+    """A file's place under another root, in the same folders or in none, with another suffix."""
+    name = F.element_at(F.split(path, "/"), -1) if flat else path
+    return F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(suffix))
+
+
+def fingerprint(rows_sorted: Column) -> Column:
+    """A digest of an ordered list of strings; for lists that a tree or a prefix bounds."""
+    return F.sha2(F.array_join(rows_sorted, "\n"), 256)

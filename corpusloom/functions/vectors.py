@@ -31,7 +31,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """To unit length; a zero vector stays."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    # the length is computed once, and handed to each element
+    return F.zip_with(a, F.array_repeat(F.greatest(norm(a), F.lit(1e-12)), F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

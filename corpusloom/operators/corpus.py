@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def page(rows: DataFrame, order: list, number: int, size: int, most: int = 200) -> DataFrame:
     """A page of a listing, from 1. The order must be total."""
@@ -58,39 +60,51 @@ def quotas(rows: DataFrame, strata: list[str], total: int, floor: int = 1) -> Da
 def stratified_sample(rows: DataFrame, strata: list[str], total: int, key: str, seed: str = "seed", floor: int = 1) -> DataFrame:
     """Rows of each stratum up to its quota, those first by a seeded hash of the key.
 
-    A hash below a bound is kept first: the bound is so high that quotas are met with near certainty, and the
-    few rows above it join only where they weren't, so no stratum is ranked as a whole.
+    Rows are counted by the hash's first four digits, before the shuffle; the counts tell in which of these slices
+    a quota ends. Slices below it are taken whole, and only that one is ranked, so no stratum is ranked as a whole
+    and none falls short.
     """
     plan = quotas(rows, strata, total, floor)
-    hashed = rows.select(key, *strata, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("_h"))
-    hashed = hashed.join(F.broadcast(plan), strata)
-    share = F.col("quota") / F.col("n")
-    near = hashed.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0 <= share + 6 * F.sqrt(share / F.col("n")) + 20 / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key))
-    return near.withColumn("_rank", rank).where("_rank <= quota").select(key, *strata)
+    hashed = rows.select(key, *strata, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("_h")).withColumn("_slice", F.substring("_h", 1, 4))
+    counts = hashed.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*strata).orderBy("_slice")) - F.col("_n"))  # at most 65,536 slices a stratum
+    cut = counts.join(F.broadcast(plan.select(*strata, "quota")), strata).where("_before < quota").select(*strata, "_slice", (F.col("quota") - F.col("_before")).alias("_left"), "_n")
+    near = hashed.join(cut, [*strata, "_slice"])
+    rank = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_h", key))
+    last = near.where("_left < _n").withColumn("_rank", rank).where("_rank <= _left")
+    return near.where("_left >= _n").select(key, *strata).unionByName(last.select(key, *strata))
 
 
 def manifest(rows: DataFrame, path: str, old: DataFrame | None = None) -> DataFrame:
     """doc_index and path: rows of an old manifest as they are, new ones after them by path.
 
-    Indexes come from a range partitioning: each partition's rows are counted, and its offset is added.
+    New paths are dealt by ranges and written once, each with its partition and its place there; a partition's rows
+    are counted from what was written, and its offset is added. So counts and rows can't differ.
     """
     fresh = rows.select(path).distinct()
     start = 0
     if old is not None:
+        old = load_manifest(old, path)
         fresh = fresh.join(old.select(path), path, "left_anti")
-        start = (old.agg(F.max("doc_index")).first()[0] + 1) if old.head(1) else 0
-    dealt = fresh.repartitionByRange(path).sortWithinPartitions(path).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+        start = old.count()
+    dealt = fresh.repartitionByRange(path).sortWithinPartitions(path)
+    dealt = written(dealt.select(path, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), "manifest")
     sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a partition
     offsets, at = [], start
     for p in sorted(sizes):
         offsets.append((p, at))
         at += sizes[p]
-    if not offsets:
-        return old.select("doc_index", path) if old is not None else fresh.select(F.lit(0).cast("long").alias("doc_index"), path)
     known = rows.sparkSession.createDataFrame(offsets, "_p int, _at long")
-    new = dealt.join(F.broadcast(known), "_p").select((F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc_index"), path)
-    return old.select("doc_index", path).unionByName(new) if old is not None else new
+    new = dealt.join(F.broadcast(known), "_p").select((F.col("_at") + F.col("_i")).alias("doc_index"), path)
+    return old.unionByName(new) if old is not None else new
+
+
+def load_manifest(rows: DataFrame, path: str) -> DataFrame:
+    """doc_index and path of a manifest, written once; an error where its indexes have a gap or repeat."""
+    rows = written(rows.select("doc_index", path), "old-manifest")
+    if not contiguous(rows).first()["ok"]:
+        raise ValueError("the manifest's indexes do not run from 0 without a gap")
+    return rows
 
 
 def contiguous(rows: DataFrame) -> DataFrame:
@@ -104,14 +118,23 @@ def cache_split(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> tu
     return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, order: str, vector: str = "embedding") -> DataFrame:
-    """For each key the row latest by an order; vectors of another size than most are refused."""
-    both = old.unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str, vector: str = "embedding", blank: tuple[str, ...] = ()) -> DataFrame:
+    """For each key the row latest by an order, of equal ones a new one; vectors of several sizes are refused.
+
+    Nulls of the columns ``blank`` are stored as empty strings.
+    """
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     sizes = [r[0] for r in both.select(F.size(vector).alias("n")).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError("vectors have several sizes")
-    others = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("row")).select(key, *(F.col(f"row.{c}").alias(c) for c in others))
+    both = both.withColumns({c: F.coalesce(c, F.lit("")) for c in blank})
+    others = [c for c in old.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, "_new")).alias("row")).select(key, *(F.col(f"row.{c}").alias(c) for c in others))
+
+
+def unblanked(rows: DataFrame, *columns: str) -> DataFrame:
+    """Empty strings of columns as nulls again."""
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns})
 
 
 def upload_error(name: Column, size: Column, most: int, suffixes: list[str]) -> Column:
@@ -131,10 +154,16 @@ def progress(rows: DataFrame, task: str, state: str, done: list[str], failed: li
     return counts.withColumn("percent", F.round((F.col("done") + F.col("failed")) * 100.0 / F.greatest("total", F.lit(1)), 1))
 
 
-def profile(rows: DataFrame, by: str, size: Column) -> DataFrame:
-    """Rows, bytes, median and 99th percentile (exact, interpolated) by source."""
-    sized = rows.select(by, size.alias("_size"))
-    return sized.groupBy(by).agg(F.count("*").alias("n"), F.sum("_size").alias("bytes"), F.round(F.percentile("_size", F.lit(0.5)), 3).alias("p50"), F.round(F.percentile("_size", F.lit(0.99)), 3).alias("p99"))
+def profile(rows: DataFrame, by: str, size: Column, percents: tuple[int, ...] = (5, 25, 50, 75, 90, 99)) -> DataFrame:
+    """Rows, bytes and percentiles of the size by source; a percentile is the sorted sizes' entry n * p // 100, from 0.
+
+    Equal sizes are counted before the shuffle, so a source has a row for each size, not for each file.
+    """
+    sizes = rows.select(by, size.cast("long").alias("_size")).where("_size IS NOT NULL").groupBy(by, "_size").agg(F.count("*").alias("_n"))
+    whole, upto = Window.partitionBy(by), Window.partitionBy(by).orderBy("_size")
+    sizes = sizes.select(by, "_size", "_n", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    at = lambda p: F.least(F.floor(F.col("_all") * p / 100), F.col("_all") - 1)
+    return sizes.groupBy(by).agg(F.sum("_n").alias("n"), F.sum(F.col("_size") * F.col("_n")).alias("bytes"), *(F.min(F.when(F.col("_upto") > at(p), F.col("_size"))).alias(f"p{p}") for p in percents))
 
 
 def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -142,3 +171,27 @@ def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     a, b = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))
     rows = a.join(b, key, "full_outer").select(key, F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"))
     return rows.withColumn("change", F.col("new") - F.col("old"))
+
+
+def suffix_counts(rows: DataFrame, path: str) -> DataFrame:
+    """Files by lower-case suffix, with its dot; empty for names without one."""
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    return rows.groupBy(F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+def candidates(files: DataFrame, path: str, size: str, suffixes: list[str], least: int = 200) -> DataFrame:
+    """Files with a wanted suffix and at least so many bytes, but none at the root."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return files.where(suffix.isin(suffixes) & (F.col(size) >= least) & F.contains(F.col(path), F.lit("/")))
+
+
+def uniform_sample(rows: DataFrame, total: int, key: str, seed: str = "seed") -> DataFrame:
+    """So many rows, those first by a seeded hash of the key: a bounded top, never a full sort."""
+    return rows.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(total)
+
+
+def verified_files(files: DataFrame, path: str, content: str, digest: str, suffixes: list[str], most: int) -> Column:
+    """Why a file of a manifest can't be taken: its path, type, size or digest; null if it can."""
+    suffix, size = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)), F.coalesce(F.octet_length(content), F.lit(0))
+    unsafe = F.startswith(F.col(path), F.lit("/")) | F.array_contains(F.split(path, "/"), "..")
+    return F.when(unsafe, "UNSAFE_PATH").when(~suffix.isin(suffixes), "UNSUPPORTED_TYPE").when(size == 0, "EMPTY_FILE").when(size > most, "FILE_TOO_LARGE").when(F.sha2(content, 256) != F.col(digest), "HASH_MISMATCH")

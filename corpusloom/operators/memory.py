@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
+
 
 def recent_turns(turns: DataFrame, n: int, by: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last n turns of each conversation.
 
-    The n greatest places of a conversation are kept by the aggregate itself, so a very long conversation isn't
-    sorted in one task; rows from the least of them on are read back.
+    The rank's bound is applied before the shuffle too, so of a very long conversation each task sends n rows.
     """
-    last = turns.groupBy(by).agg(F.max(order).alias("_last"))
-    cut = turns.join(last, by).where(F.col(order) > F.col("_last") - 64 * n)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
-    dense = cut.withColumn("_rank", rank).where(F.col("_rank") <= n).select(*turns.columns)
-    full = dense.groupBy(by).agg(F.count("*").alias("_n"))
-    sparse = last.join(full, by, "left").where(F.coalesce("_n", F.lit(0)) < n).select(by)
-    rest = turns.join(sparse, by, "left_semi").withColumn("_rank", rank).where(F.col("_rank") <= n).select(*turns.columns)
-    return dense.join(sparse, by, "left_anti").unionByName(rest)
+    return turns.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def context_frame(turns: DataFrame, n: int, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -42,3 +37,33 @@ def decision(similarity: Column, gate: float = 0.90, duplicate: float = 0.98) ->
 def sim01(cos: Column) -> Column:
     """Cosine similarity on the scale from 0 to 1."""
     return (1 + cos) / 2
+
+
+def recall(vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int, scope: str = "scope", key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """query_id, key, cos and rank of each query's k nearest active memories of its own scope (a user, a project).
+
+    The scope is filtered before the search; status comes from the table of memories, which is the truth: hits that it
+    lacks or that aren't active go after the ranking, as the index may lag behind it. queries: query_id, scope, asked.
+    """
+    near = vectors.select(F.col(scope), F.col(key), F.col(vector)).join(queries, scope)
+    near = near.where(F.col("query_id") != F.col(key)).select("query_id", key, F.round(cosine(F.col("asked"), F.col(vector)), digits).alias("cos"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), key))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(memories.where("status = 'active'").select(key), key).select("query_id", key, "cos", "rank")
+
+
+def applied(memories: DataFrame, decisions: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The memories after decisions (key, nearest, decision): skipped ones aren't there, updates deprecate what they replace."""
+    new = decisions.where("decision <> 'skip'").select(key, F.lit("active").alias("status"))
+    replaced = decisions.where("decision = 'update'").select(F.col("nearest").alias(key)).distinct().withColumn("_old", F.lit(True))
+    kept = memories.join(decisions.select(key), key, "left_anti").join(replaced, key, "left")
+    return kept.select(key, F.when(F.col("_old"), "deprecated").otherwise(F.col("status")).alias("status")).unionByName(new)
+
+
+def prompt(hits: DataFrame, memories: DataFrame, turns: DataFrame, n: int, key: str = "vec_id", by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """For each conversation its recalled memories, by rank, and its last n turns, oldest first, as one text. hits: conversation as query_id."""
+    known = hits.join(memories.select(key, F.col("text").alias("_m")), key).groupBy("query_id")
+    known = known.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_m"))), lambda x: F.concat(F.lit("- "), x["_m"])), "\n").alias("_known"))
+    said = recent_turns(turns, n, by, order).groupBy(by)
+    said = said.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "role", "text"))), lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n").alias("_said"))
+    return said.join(known, said[by] == known["query_id"], "left").select(by, F.concat_ws("\n\n", F.coalesce("_known", F.lit("")), "_said").alias("prompt"))

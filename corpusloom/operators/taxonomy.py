@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,10 @@ FLAT_SCHEMA = "ord int, key string, parent_key string, level int, name string, d
 
 
 def problems(nodes: DataFrame) -> DataFrame:
-    """problem and key: keys that come twice, blank names, leaves above or below level 3."""
+    """problem and key: keys that come twice, blank names and descriptions, leaves above or below level 3."""
     twice = nodes.groupBy("key").count().where("count > 1").select(F.lit("duplicate key").alias("problem"), "key")
     blank = nodes.where(F.trim(F.coalesce("name", F.lit(""))) == "").select(F.lit("blank name").alias("problem"), "key")
+    blank = blank.unionByName(nodes.where(F.trim(F.coalesce("description", F.lit(""))) == "").select(F.lit("blank description").alias("problem"), "key"))
     leaves = nodes.join(nodes.select(F.col("parent_key").alias("key")).distinct(), "key", "left_anti").where("level <> 3")
     return twice.unionByName(blank).unionByName(leaves.select(F.lit("leaf not at level 3").alias("problem"), "key"))
 
@@ -115,3 +117,45 @@ def pools(classified: DataFrame, thresholds: tuple[float, float, float]) -> Data
     """level and n of the rows whose first failing level it is."""
     level = F.when(~F.coalesce(F.col("l1_score") >= thresholds[0], F.lit(False)), 1).when(~F.coalesce(F.col("l2_score") >= thresholds[1], F.lit(False)), 2).when(~F.coalesce(F.col("l3_score") >= thresholds[2], F.lit(False)), 3)
     return classified.select(level.alias("level"), "best_leaf").where("level IS NOT NULL")
+
+
+def free_key(wanted: str, taken: set[str]) -> str:
+    """The key, or the first of key_2, key_3 and so on that isn't taken."""
+    key, n = wanted, 1
+    while key in taken:
+        n += 1
+        key = f"{wanted}_{n}"
+    return key
+
+
+def _subtree(key: str, level: int, name: str, desc: str) -> dict:
+    """A discovered node; below levels 1 and 2 one general child each, so that leaves are at level 3."""
+    children = {}
+    if level < 3:
+        children[f"{key}_general"] = _subtree(f"{key}_general", level + 1, f"{name} (General)", f"General documents within the discovered category '{name}'.")[f"{key}_general"]
+    return {key: {"name": name, "desc": desc, "source": "discovered", "children": children}}
+
+
+def graft(tree: dict, found: list[tuple[int, str | None, str, str, str]]) -> tuple[dict, list[str]]:
+    """A tree with discovered nodes (level, parent key, wanted key, name, description), and the keys of parents that it lacks.
+
+    Keys stay unique in the whole tree; without a parent a node is one of level 1. The tree given isn't changed.
+    A tree is made by hand or by a round of discovery, so it fits the driver.
+    """
+    tree, nodes, missing = copy.deepcopy(tree), {}, []
+
+    def enter(children: dict) -> None:
+        for key, node in children.items():
+            nodes[key] = node
+            enter(node.get("children") or {})
+
+    enter(tree)
+    for level, parent, wanted, name, desc in found:
+        top = level == 1 or parent is None
+        if not top and parent not in nodes:
+            missing.append(parent)
+            continue
+        new = _subtree(free_key(wanted, set(nodes)), 1 if top else level, name, desc)
+        (tree if top else nodes[parent].setdefault("children", {})).update(new)
+        enter(new)
+    return tree, missing

@@ -272,7 +272,7 @@ def task_progress(spark, d):
     return corpus.progress(read(spark, d, "events"), "user_id", "event_type", ["purchase", "view"], ["error"])
 
 
-@query("SELECT source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes, round(quantile_cont(octet_length(encode(text)), 0.5), 3) AS p50, round(quantile_cont(octet_length(encode(text)), 0.99), 3) AS p99 FROM documents GROUP BY source")
+@query("SELECT source, n, sum(z)::BIGINT AS bytes, s[least(n * 5 // 100, n - 1) + 1] AS p5, s[least(n * 25 // 100, n - 1) + 1] AS p25, s[least(n * 50 // 100, n - 1) + 1] AS p50, s[least(n * 75 // 100, n - 1) + 1] AS p75, s[least(n * 90 // 100, n - 1) + 1] AS p90, s[least(n * 99 // 100, n - 1) + 1] AS p99 FROM (SELECT source, octet_length(encode(text))::BIGINT AS z FROM documents) JOIN (SELECT source, count(*) AS n, list_sort(list(octet_length(encode(text))::BIGINT)) AS s FROM documents GROUP BY source) USING (source) GROUP BY source, s, n")
 def corpus_profile(spark, d):
     """Rows and bytes by source."""
     return corpus.profile(read(spark, d, "documents"), "source", F.octet_length("text"))
@@ -294,10 +294,11 @@ def import_lifecycle(spark, d):
     return rows.groupBy(corpus.import_state(status, F.col("duplicate_of")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars % 1000 = 0 THEN (n_chars // 1000) || 'k' WHEN n_chars > 1000 THEN printf('%.1f', n_chars / 1000) || 'k' ELSE CAST(n_chars AS VARCHAR) END AS label FROM documents WHERE n_chars % 100 = 0")
+@query("SELECT doc_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n % 1000 = 0 THEN (n // 1000) || 'k' ELSE printf('%.1f', n / 1000) || 'k' END AS label FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN doc_id * 500 ELSE n_chars END AS n FROM documents)")
 def count_labels(spark, d):
-    """Counts as short labels."""
-    return read(spark, d, "documents").where("n_chars % 100 = 0").select("doc_id", text.count_label(F.col("n_chars")).alias("label"))
+    """Counts as short labels, 0 and whole thousands among them."""
+    n = F.when(F.col("doc_id") % 50 == 0, F.col("doc_id") * 500).otherwise(F.col("n_chars"))
+    return read(spark, d, "documents").select("doc_id", text.count_label(n).alias("label"))
 
 
 @query("SELECT source, coalesce(round(count(*) FILTER (WHERE lang = 'en') * 100.0 / nullif(count(*), 0), 2), 0) AS percent FROM documents GROUP BY source")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -30,8 +31,9 @@ _V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddin
 _HITS = f"WITH {_V}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, q.label AS ql, v.label AS vl FROM v q JOIN v ON q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10) "
 
 
-def _queries(spark, d):
-    return [(r["vec_id"], r["embedding"]) for r in read(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
+def _queries(spark, d, one=None):
+    asked = F.col("vec_id") % EVERY == 0 if one is None else F.col("vec_id") == one
+    return [(r["vec_id"], r["embedding"]) for r in read(spark, d, "embeddings").where(asked).select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
 
 
 def _hits(spark, d, k=10):
@@ -47,14 +49,14 @@ def vector_topk_batch(spark, d):
 @query(f"WITH {_V} SELECT v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, round(1 - round(list_cosine_similarity(q.e, v.e), 6), 4) AS distance, row_number() OVER (ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id)::INTEGER AS rank FROM v, v q WHERE q.vec_id = 0 ORDER BY rank LIMIT 15")
 def vector_topk(spark, d):
     """The 15 nearest rows for one vector."""
-    one = [q for q in _queries(spark, d) if q[0] == 0]
-    return vectors.top_k(read(spark, d, "embeddings"), one, 15).select("vec_id", "cos", F.round(1 - F.col("cos"), 4).alias("distance"), "rank")
+    return vectors.top_k(read(spark, d, "embeddings"), _queries(spark, d, 0), 15).select("vec_id", "cos", F.round(1 - F.col("cos"), 4).alias("distance"), "rank")
 
 
-@query(_HITS + "SELECT query_id, coalesce(min(1 - cos) < 0.5, false) AS confident, round(min(1 - cos), 6) AS distance FROM h GROUP BY query_id")
+@query(_HITS + "SELECT q.vec_id AS query_id, coalesce(min(1 - cos) < 0.5, false) AS confident, round(min(1 - cos), 6) AS distance FROM (SELECT vec_id FROM v WHERE vec_id % 10 = 0) q LEFT JOIN h ON h.query_id = q.vec_id GROUP BY q.vec_id")
 def confidence_gate(spark, d):
-    """Whether a query's nearest hit is near enough to answer from."""
-    return search.confident(_hits(spark, d))
+    """Whether a query's nearest hit is near enough to answer from; every second query has no hit."""
+    asked = read(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    return search.confident(_hits(spark, d), asked)
 
 
 @query(_HITS + "SELECT query_id, sha256(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM h JOIN documents ON doc_id = vec_id WHERE rank <= 5 GROUP BY query_id")
@@ -105,8 +107,8 @@ def cluster_representatives(spark, d):
     """The three members nearest to each mean vector."""
     e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
     near = e.join(F.broadcast(_centres(spark, d).select("label", "centroid")), "label").select("label", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 6).alias("cos"))
-    best = near.groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", (-F.col("vec_id")).alias("m"))), False), 1, 3).alias("b"))
-    return best.select("label", F.posexplode("b").alias("p", "x")).select("label", (-F.col("x.m")).alias("vec_id"), "x.cos", (F.col("p") + 1).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("cos"), "vec_id"))
+    return near.withColumn("rank", rank).where("rank <= 3")
 
 
 _TREE = _V + """, n AS (SELECT 'L1-' || (label // 4) AS key, NULL AS parent_key, 1 AS level, label // 4 AS ord, e FROM v
@@ -198,8 +200,8 @@ def taxonomy_nodes(spark, d):
     tree: dict = {}
     for r in read(spark, d, "embeddings").select("label").distinct().orderBy("label").collect():  # labels are few
         i = r["label"]
-        top = tree.setdefault(f"L1-{i // 4}", {"name": f"L1-{i // 4}", "children": {}})
-        mid = top["children"].setdefault(f"L2-{i // 2}", {"name": f"L2-{i // 2}", "children": {}})
+        top = tree.setdefault(f"L1-{i // 4}", {"name": f"L1-{i // 4}", "desc": "top", "children": {}})
+        mid = top["children"].setdefault(f"L2-{i // 2}", {"name": f"L2-{i // 2}", "desc": "middle", "children": {}})
         mid["children"][f"L3-{i}"] = {"name": f"L3-{i}", "desc": "leaf"}
     nodes = spark.createDataFrame(taxonomy.flatten(tree), taxonomy.FLAT_SCHEMA)
     return nodes.join(taxonomy.problems(nodes), "key", "left_anti").groupBy("level").agg(F.count("*").alias("n"))

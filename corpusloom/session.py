@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,3 +26,31 @@ def get_session(app: str = "corpusloom", master: str | None = None, **conf: str)
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir, or, where it is unset and all run on one machine, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: they are made once, whatever reads them, and lost executors can't lose them."""
+    folder = f"{shared_folder(rows.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
+    atexit.register(_delete, rows.sparkSession, folder)
+    path = f"{folder}/{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

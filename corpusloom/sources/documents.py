@@ -187,9 +187,16 @@ def write_versioned(rows: DataFrame, path: str, version: int) -> str:
     return target
 
 
-def read_latest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version, or the highest."""
-    rows = spark.read.parquet(path)
-    if version is None:
-        version = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == version)
+def read_latest(spark: SparkSession, path: str, version: int | None = None, seed: DataFrame | None = None) -> DataFrame:
+    """A version, which must be there; without one the highest, or the seed where there is none at all."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(there)] if system.exists(there) else []
+    known = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    if version is not None and version not in known:
+        raise ValueError(f"there is no version {version} under {path}")
+    if not known:
+        if seed is None:
+            raise ValueError(f"there is no version under {path}")
+        return seed
+    return spark.read.parquet(path).where(F.col("version") == (max(known) if version is None else version))

@@ -67,9 +67,9 @@ def test_clusters():
 
 
 def test_tree_problems(spark):
-    tree = {"a": {"name": "A", "children": {"b": {"name": "", "children": {"c": {"name": "C"}}}, "d": {"name": "D"}}}}
+    tree = {"a": {"name": "A", "desc": "x", "children": {"b": {"name": "", "desc": "x", "children": {"c": {"name": "C", "desc": " "}}}, "d": {"name": "D", "desc": "x"}}}}
     found = taxonomy.problems(spark.createDataFrame(taxonomy.flatten(tree), taxonomy.FLAT_SCHEMA)).collect()
-    assert {(r["problem"], r["key"]) for r in found} == {("blank name", "b"), ("leaf not at level 3", "d")}
+    assert {(r["problem"], r["key"]) for r in found} == {("blank name", "b"), ("blank description", "c"), ("leaf not at level 3", "d")}
 
 
 def test_stream_equals_table(spark, data, tmp_path):

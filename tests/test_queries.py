@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import relational, semantic  # noqa: F401
+from corpusloom.plans import lifecycle, relational, semantic  # noqa: F401
 
 
 @pytest.fixture(scope="module")
