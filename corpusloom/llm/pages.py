@@ -171,33 +171,46 @@ def suffix_array(hashes: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.n
     """The suffixes of a stream of words in order, and how many words each shares with the one before it.
 
     hashes: of the words; page: the number of each word's page, never falling. A suffix ends with its page. Ranks
-    stand for one word, then two, four and so on, until all differ or no page is longer; words shared by neighbours
-    are counted by the same ranks, from the longest to one word.
+    (the place of the first suffix that begins alike) stand for one word, then two, four and so on; only suffixes
+    that still share a rank are sorted again, until all differ or no page is longer. Words shared by neighbours are
+    counted by the same ranks, from the longest to one word.
     """
     n = len(hashes)
-    levels = [np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1]
-    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1], [True]]))).max())
-    order, size, classes = np.argsort(levels[0], kind="stable"), 1, 0
-    while size < longest and classes < n:
-        rank = levels[-1]
-        later = np.zeros(n, np.int64)
-        later[:-size] = np.where(page[size:] == page[:-size], rank[size:], 0)
-        key = rank * (n + 2) + later  # at most (n + 1) * (n + 2)
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        classes, size = int(new.sum()), size * 2
+    order = np.argsort(hashes, kind="stable")
+    first = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])  # of those with one rank
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    end = np.searchsorted(page, page, "right")  # of each word's page
+    levels, size, longest = [rank], 1, int((end - np.arange(n)).max())
+    while size < longest:
+        open_ = np.flatnonzero(~first | ~np.concatenate([first[1:], [True]]))  # places in the order
+        if not len(open_):
+            break
+        own = order[open_]
+        later = own + size
+        inside = later < end[own]
+        key = rank[own] * (n + 2) + np.where(inside, rank[np.where(inside, later, 0)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[open_], key = own[by], key[by]
+        first[open_[1:]] |= key[1:] != key[:-1]
+        rank = rank.copy()
+        starts = np.maximum.accumulate(np.where(first[open_], open_, 0))
+        rank[order[open_]] = starts
         levels.append(rank)
-    left = np.searchsorted(page, page, "right") - np.arange(n)  # words to the page's end
-    common, x, y = np.zeros(n, np.int64), order[1:], order[:-1]
-    most = np.minimum(left[x], left[y])
-    for k in range(len(levels) - 1, -1, -1):
-        done = common[1:]
-        fits = done + (1 << k) <= most
-        i, j = np.where(fits, x + done, 0), np.where(fits, y + done, 0)
-        common[1:] += np.where(fits & (levels[k][i] == levels[k][j]), 1 << k, 0)
+        size *= 2
+    common = np.zeros(n, np.int64)
+    x, y = order[1:], order[:-1]
+    common[1:] = levels[0][x] == levels[0][y]
+    if len(levels) > 1:
+        two = np.flatnonzero(levels[1][x] == levels[1][y])
+        two = two[np.minimum(end[x[two]] - x[two], end[y[two]] - y[two]) > 1]
+        x, y = x[two], y[two]
+        most, done = np.minimum(end[x] - x, end[y] - y), np.zeros(len(two), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            fits = done + (1 << k) <= most
+            i, j = np.where(fits, x + done, 0), np.where(fits, y + done, 0)
+            done += np.where(fits & (levels[k][i] == levels[k][j]), 1 << k, 0)
+        common[1 + two] = done
     return order, common
 
 
