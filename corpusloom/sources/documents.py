@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,9 +19,9 @@ ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "latin-1")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length, content and type of files below a path, in any store that Spark reads."""
+    """path, length, content, time of change and type of files below a path, in any store that Spark reads."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", "length", "content", file_type(F.col("path")).alias("file_type"))
+    return rows.select("path", "length", "content", F.col("modificationTime").alias("modified"), file_type(F.col("path")).alias("file_type"))
 
 
 def decoded(content: bytes) -> str:
@@ -33,37 +34,68 @@ def decoded(content: bytes) -> str:
     return ""
 
 
-def _scalar(x: str) -> str | list[str] | None:
+def _scalar(x: str) -> str | list | None:
     x = x.strip()
     if x.startswith("[") and x.endswith("]"):
-        return [y for y in (_scalar(p) for p in x[1:-1].split(",")) if y]  # type: ignore[misc]
+        return [y for y in (_scalar(p) for p in re.findall(r"""(?:"[^"]*"|'[^']*'|[^,"'])+""", x[1:-1])) if y]
     if len(x) > 1 and x[0] == x[-1] and x[0] in "\"'":
-        return x[1:-1]
+        return x[1:-1].replace("''", "'") if x[0] == "'" else x[1:-1].replace('\\"', '"')
+    x = re.sub(r"\s+#.*$", "", x)
     return None if x in ("", "null", "~") else x
 
 
-def parse_front_matter(text: str) -> tuple[dict, str]:
-    """The mapping of plain YAML at the head (scalars and lists of scalars) and the body, trimmed."""
-    m = FRONT.match(text)
-    if not m:
-        raise ValueError("no front matter")
+def _mapping(lines: list[str], at: int, depth: int) -> tuple[dict, int]:
+    """The mapping whose keys stand so many blanks in, from a line on, and the line after it."""
     out: dict = {}
     key = None
-    for line in m[1].splitlines():
+    while at < len(lines):
+        line = lines[at]
+        own = len(line) - len(line.lstrip(" "))
         if not line.strip() or line.lstrip().startswith("#"):
+            at += 1
             continue
         item = re.match(r"\s*-\s+(.*)$", line)
-        pair = re.match(r"([A-Za-z_][\w-]*)\s*:(?:\s+(.*))?$", line)
         if item and key is not None and isinstance(out.get(key) or [], list):
             out[key] = [*(out.get(key) or []), _scalar(item[1])]
-        elif pair:
-            key = pair[1]
-            out[key] = _scalar(pair[2] or "")
-        else:
+            at += 1
+            continue
+        pair = re.match(r"""\s*("[^"]+"|'[^']+'|[A-Za-z_][\w .-]*?)\s*:(?:\s+(.*))?$""", line)
+        if own < depth and pair:
+            break
+        if own > depth and pair and key is not None and out[key] is None:
+            out[key], at = _mapping(lines, at, own)
+            continue
+        if own != depth or not pair:
             raise ValueError(f"not a mapping: {line[:60]}")
+        key, value = pair[1].strip("\"'"), (pair[2] or "").strip()
+        at += 1
+        if re.fullmatch(r"[|>][+-]?", value):
+            held = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip(" ")) > depth):
+                held.append(lines[at].strip())
+                at += 1
+            out[key] = ("\n" if value[0] == "|" else " ").join(held).strip()
+        else:
+            out[key] = _scalar(value)
+    return out, at
+
+
+def parse_front_matter(text: str) -> tuple[dict, str]:
+    """The mapping at the head and the body, trimmed. Of YAML: scalars, quoted or not, lists, blocks of text, nested mappings."""
+    m = FRONT.match(text)
+    if not m:
+        raise ValueError("no front matter")
+    lines = m[1].splitlines()
+    out, at = _mapping(lines, 0, 0)
+    if at < len(lines):
+        raise ValueError(f"not a mapping: {lines[at][:60]}")
     return out, m[2].strip()
 
 
+def _text(x: object) -> str | None:
+    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
 DOCUMENT = "document_id string, title string, author string, created_at string, tags array<string>, source_path string, body string, error string"
 
 
@@ -78,7 +110,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
                 try:
                     m, body = parse_front_matter(decoded(content or b""))
                     tags = m.get("tags") or []
-                    values = [m.get("document_id"), m.get("title"), m.get("author") or "unknown", m.get("created_at"), [tags] if isinstance(tags, str) else tags, m.get("source_path"), body, None]
+                    values = [_text(m.get("document_id")), _text(m.get("title")), _text(m.get("author")) or "unknown", _text(m.get("created_at")), [tags] if isinstance(tags, str) else [_text(x) for x in tags], _text(m.get("source_path")), body, None]
                 except ValueError as e:
                     values = [None] * 7 + [str(e)]
                 for column, x in zip(rows, (path, *values), strict=True):
