@@ -22,12 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import trim
-
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
-#: A task has one group up to so many tasks, and 16 beyond.
-TASKS = 4096
+#: Groups that a task has, on average: the tokenizer is loaded, and words are learned, once a task.
+TASK_GROUPS = 4
 #: Parts that a worker remembers; beyond, it starts anew, which changes no id.
 MEMORY = 1_200_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -220,10 +218,9 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed:
                 for k, v in zip(_FIELDS, (s, n, zlib.crc32(tokens[i][s : s + n]), len(tokens[i]), (group << 32) + number, offset), strict=True):
                     out[k].append(v)
                 offset += n
-        trim()
         return pa.Table.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(out[k], pa.int64()) for k in _FIELDS)], names=["doc_id", *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), F.spark_partition_id()), F.lit(groups)).alias("_group")
-    tasks = max(min(groups, TASKS), groups // 16)
+    tasks = -(-groups // TASK_GROUPS)
     return docs.select("doc_id", "text", drawn).repartition(tasks, "_group").groupBy("_group").applyInArrow(rows, f"doc_id {kind}, {SCHEMA}")
