@@ -68,7 +68,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], total: int, key: str,
     hashed = rows.select(key, *strata, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("_h")).withColumn("_slice", F.substring("_h", 1, 4))
     counts = hashed.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*strata).orderBy("_slice")) - F.col("_n"))  # at most 65,536 slices a stratum
-    cut = counts.join(F.broadcast(plan.select(*strata, "quota")), strata).where("_before < quota").select(*strata, "_slice", (F.col("quota") - F.col("_before")).alias("_left"), "_n")
+    cut = counts.join(plan.select(*strata, "quota"), strata).where("_before < quota").select(*strata, "_slice", (F.col("quota") - F.col("_before")).alias("_left"), "_n")
     near = hashed.join(cut, [*strata, "_slice"])
     rank = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_h", key))
     last = near.where("_left < _n").withColumn("_rank", rank).where("_rank <= _left")

@@ -75,7 +75,7 @@ def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "emb
     order = Window.partitionBy(pool).orderBy(F.md5(F.col(key).cast("string")), key, F.xxhash64(vector))
     rows = rows.select(pool, key, vector)
     counts = rows.where(F.col(vector).isNotNull()).groupBy(pool).agg(F.count("*").alias("_n"))
-    rows = rows.join(F.broadcast(counts), pool, "left")
+    rows = rows.join(counts, pool, "left")
     share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
     near = F.coalesce(F.col(vector).isNotNull() & ((F.col("_n") <= POOL_ROWS) | (share <= 1.5 * POOL_ROWS / F.col("_n") + 0.01)), F.lit(False))
     ranked = rows.where(near).withColumn("_r", F.row_number().over(order))

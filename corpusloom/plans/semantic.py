@@ -106,7 +106,7 @@ def nearest_centroid(spark, d):
 def cluster_representatives(spark, d):
     """The three members nearest to each mean vector."""
     e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
-    near = e.join(F.broadcast(_centres(spark, d).select("label", "centroid")), "label").select("label", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 6).alias("cos"))
+    near = e.join(_centres(spark, d).select("label", "centroid"), "label").select("label", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 6).alias("cos"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("cos"), "vec_id"))
     return near.withColumn("rank", rank).where("rank <= 3")
 
@@ -212,7 +212,7 @@ def eval_hits_mrr(spark, d):
     """Hit rates and mean reciprocal rank where rows of the query's label are relevant."""
     e = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     queries = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
-    hits = _hits(spark, d).join(e, "vec_id").join(F.broadcast(queries), "query_id")  # at most ten rows a query
+    hits = _hits(spark, d).join(e, "vec_id").join(queries, "query_id")  # at most ten rows a query
     truth = hits.where("label = category").select("query_id", "vec_id")
     return evaluation.quality(evaluation.first_hits(hits, truth, queries, "vec_id"), "category")
 
