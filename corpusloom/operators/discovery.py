@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Rows of a pool that are clustered; a larger pool's others go to the nearest centroid kept.
 POOL_ROWS, KEPT = 20_000, 8
 #: Distances that are held at a time.
@@ -20,52 +22,123 @@ def least_size(n: int) -> int:
     return max(15, min(int(0.003 * n), 50))
 
 
-def clusters_of(vectors: np.ndarray, least: int) -> np.ndarray:
-    """Labels from 0, -1 for noise: single linkage of mutual reachability distances, cut where it gives most clusters
-    of at least ``least`` members."""
+def _spanning(unit: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and lengths, by length, of a least spanning tree of mutual reachability distances.
+
+    It grows from point 0; points that it has leave the arrays, so the products get shorter.
+    """
+    n = len(unit)
+    rest, near, source, rows, reach = np.arange(n), np.full(n, np.inf), np.zeros(n, np.int64), unit.copy(), core.copy()
+    length, one, other, at = np.zeros(n - 1), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), 0
+    for k in range(n - 1):
+        point, last = rest[at], n - 1 - k
+        for column in (rest, near, source, rows, reach):
+            column[at] = column[last]
+        far = np.maximum(np.sqrt(np.maximum(2 - 2 * (rows[:last] @ unit[point]), 0)), np.maximum(reach[:last], core[point]))
+        better = far < near[:last]
+        near[:last][better], source[:last][better] = far[better], point
+        at = int(near[:last].argmin())
+        length[k], one[k], other[k] = near[at], source[at], rest[at]
+    order = np.argsort(length, kind="stable")
+    return one[order], other[order], length[order]
+
+
+class _Forest:
+    """Which tree each of n points is in, while edges tie them."""
+
+    def __init__(self, n: int):
+        self.above = list(range(n))
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+
+def _by_cut(one: np.ndarray, other: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    n, most = len(one) + 1, 0
+    best = np.full(n, -1)
+    for q in np.linspace(0.95, 0.3, 14):
+        forest = _Forest(n)
+        for a, b in zip(*(x[: np.searchsorted(length, length[int(q * (n - 2))], "right")].tolist() for x in (one, other)), strict=True):
+            forest.above[forest.root(a)] = forest.root(b)
+        _, of, sizes = np.unique([forest.root(i) for i in range(n)], return_inverse=True, return_counts=True)
+        big = sizes >= least
+        if big.sum() > most:
+            most, best = big.sum(), np.where(big, np.cumsum(big) - 1, -1)[of]
+    return best
+
+
+def _by_mass(one: np.ndarray, other: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    n = len(one) + 1
+    # merge k is node n + k; edges of equal length that meet are one merge of several parts. Points are nodes 0 to n - 1
+    forest, node, sizes, parts, density, a = _Forest(n), list(range(n)), [1] * n, [], [], 0
+    length = np.round(length, 9)
+    for b in np.flatnonzero(np.append(length[1:] != length[:-1], True)) + 1:
+        met: dict[int, list[int]] = {}
+        for x, y in zip(one[a:b].tolist(), other[a:b].tolist(), strict=True):
+            x, y = forest.root(x), forest.root(y)
+            few, many = sorted((met.pop(x, [node[x]]), met.pop(y, [node[y]])), key=len)
+            many += few
+            forest.above[x], met[y] = y, many
+        for root, of in met.items():
+            node[root] = n + len(parts)
+            parts.append(of)
+            sizes.append(sum(sizes[x] for x in of))
+            density.append(float(1 / max(length[a], 1e-6)))
+        a = b
+    cluster = np.zeros(n + len(parts), np.int64)  # the last one that each node was part of
+    above, birth, mass = [-1], [0.0], [0.0]
+    for k in range(len(parts) - 1, -1, -1):  # the last merge is the whole
+        me = int(cluster[n + k])
+        n_big = sum(sizes[x] >= least for x in parts[k])
+        for x in parts[k]:
+            if sizes[n + k] >= least and (n_big > 1 or sizes[x] < least):  # these points leave
+                mass[me] += sizes[x] * (density[k] - birth[me])
+            cluster[x] = me
+            if n_big > 1 and sizes[x] >= least:
+                cluster[x] = len(above)
+                above.append(me)
+                birth.append(density[k])
+                mass.append(0.0)
+    chosen, inner = np.zeros(len(above), bool), np.zeros(len(above))
+    for c in range(len(above) - 1, 0, -1):
+        chosen[c] = mass[c] >= inner[c]
+        inner[above[c]] += max(mass[c], inner[c])
+    label, found = np.full(len(above), -1), 0
+    for c in range(1, len(above)):
+        label[c] = label[above[c]]
+        if label[c] < 0 and chosen[c]:
+            label[c], found = found, found + 1
+    return label[cluster[:n]]
+
+
+def clusters_of(vectors: np.ndarray, least: int, by: str = "cut") -> np.ndarray:
+    """Labels from 0, -1 for noise, of clusters of at least ``least`` (two or more) members by density.
+
+    Distances are Euclidean between vectors of unit length, but at least the core distances of both points, which are
+    those of their ``least``-th neighbours, themselves among them. Clusters come from the tree of single linkage:
+
+    - cut: it is cut where that gives most clusters of the least size.
+    - mass: where it splits into two parts of the least size, these are clusters of their own; smaller parts leave
+      theirs. A cluster stays whole if its members' stay in it, in inverse distance, isn't below that of the clusters
+      within; the whole set is none. Members that left it early are members too. Distances below 1e-6 count as that.
+    """
+    if by not in ("cut", "mass"):
+        raise ValueError("clusters are found by cut or by mass")
     n = len(vectors)
     if n < max(5, least):
         return np.full(n, -1)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     at, step = min(least - 1, n - 1), max(1, BLOCK // n)
-    core = np.concatenate([np.partition(np.clip(1 - unit[k : k + step] @ unit.T, 0, 2), at, axis=1)[:, at] for k in range(0, n, step)])
-    near, parent, inside = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        reach = np.maximum(np.clip(1 - unit @ unit[at], 0, 2), np.maximum(core, core[at]))
-        better = ~inside & (reach < near)
-        near[better], parent[better] = reach[better], at
-        at = int(np.where(inside, np.inf, near).argmin())
-        edges.append((near[at], int(parent[at]), at))
-    edges.sort()
-    best = np.full(n, -1)
-    most = 0
-    for q in np.linspace(0.95, 0.3, 14):
-        cut = edges[int(q * (len(edges) - 1))][0]
-        root = np.arange(n)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for d, a, b in edges:
-            if d > cut:
-                break
-            root[find(a)] = find(b)
-        names = np.array([find(i) for i in range(n)])
-        found, sizes = np.unique(names, return_counts=True)
-        big = found[sizes >= least]
-        if len(big) > most:
-            most = len(big)
-            best = np.array([int(np.searchsorted(big, x)) if x in big else -1 for x in names])
-    return best
+    core = np.concatenate([np.partition(np.maximum(2 - 2 * (unit[k : k + step] @ unit.T), 0), at, axis=1)[:, at] for k in range(0, n, step)])
+    return (_by_cut if by == "cut" else _by_mass)(*_spanning(unit, np.sqrt(core)), least)
 
 
-def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """pool, key, cluster (-1: none): the KEPT largest clusters of each pool, from 0 by size.
+def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "embedding", by: str = "cut") -> DataFrame:
+    """pool, key, cluster (-1: none): the KEPT largest clusters of each pool, from 0 by size. ``by``: see clusters_of.
 
     A pool of at most POOL_ROWS rows with a vector is clustered whole, in a task; of a larger one those first by a
     hash of the key are, and its other rows are assigned where they are read, with the kept centroids, which are few.
@@ -73,7 +146,7 @@ def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "emb
     """
     kind, pool_kind = (rows.schema[c].dataType.simpleString() for c in (key, pool))
     order = Window.partitionBy(pool).orderBy(F.md5(F.col(key).cast("string")), key, F.xxhash64(vector))
-    rows = rows.select(pool, key, vector)
+    rows = written(rows.select(pool, key, vector), "pools")
     counts = rows.where(F.col(vector).isNotNull()).groupBy(pool).agg(F.count("*").alias("_n"))
     rows = rows.join(counts, pool, "left")
     share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -82,8 +155,8 @@ def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "emb
 
     def cluster(_: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by("_r")
-        vectors = np.array(part.column(vector).to_pylist(), float)
-        label = clusters_of(vectors, least_size(len(vectors)))
+        vectors = np.array(part.column(vector).combine_chunks().flatten(), float).reshape(part.num_rows, -1)
+        label = clusters_of(vectors, least_size(len(vectors)), by)
         sizes = sorted(((int((label == c).sum()), -c) for c in set(label.tolist()) - {-1}), reverse=True)[:KEPT]
         own = np.full(len(label), -1)
         for k, (_size, c) in enumerate(sizes):
@@ -98,7 +171,7 @@ def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "emb
     large = counts.where(F.col("_n") > POOL_ROWS).limit(1).count() > 0
     by_pool: dict = {}
     if large:
-        found = found.persist()  # for the centroids and for the rows
+        found = written(found, "clusters")  # for the centroids and for the rows
         for r in found.where("centroid IS NOT NULL").collect():
             by_pool.setdefault(r[pool], []).append((r["cluster"], r["centroid"]))
 

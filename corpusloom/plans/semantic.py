@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import chunking, corpus, discovery, evaluation, memory, search, taxonomy, thresholds
+from ..session import written
 from .relational import query, read
 
 TERMS = "thre onre anea"
@@ -182,16 +183,16 @@ def threshold_p30(spark, d):
 @query()
 def threshold_fit(spark, d):
     """Thresholds by mixtures with guards; tests check the guards."""
-    rows = _classified(spark, d)
+    rows = written(_classified(spark, d).select("l1_score", "l2_score", "l3_score"), "scores")
     found = [(i, thresholds.fit(rows.select(F.col(f"l{i}_score").alias("score")))) for i in (1, 2, 3)]
     return spark.createDataFrame([(i, f["value"], f["method"], f["reason"], f["n"]) for i, f in found], "level int, value double, method string, reason string, n long")
 
 
 @query()
 def discovered_clusters(spark, d):
-    """Clusters among rows without a category, by pool; tests check sizes and counts."""
+    """Clusters among rows without a category, by pool, of most mass; tests hold these against the definition."""
     rows = _classified(spark, d).where("status = 'UNKNOWN'").select("vec_id", F.lit("all").alias("pool"))
-    return discovery.discover(rows.join(read(spark, d, "embeddings"), "vec_id").select("pool", "vec_id", "embedding"), "pool")
+    return discovery.discover(rows.join(read(spark, d, "embeddings"), "vec_id").select("pool", "vec_id", "embedding"), "pool", by="mass")
 
 
 @query("WITH l AS (SELECT DISTINCT label FROM embeddings), n AS (SELECT 'L1-' || (label // 4) AS key, 1 AS level FROM l UNION SELECT 'L2-' || (label // 2), 2 FROM l UNION SELECT 'L3-' || label, 3 FROM l) SELECT level::INTEGER AS level, count(*) AS n FROM n GROUP BY level")

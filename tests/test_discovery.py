@@ -43,3 +43,68 @@ def test_rows_beyond_the_sample(spark, monkeypatch):
         label[k >= 300][c] += 1
     tops = [label[side].most_common(1)[0] for side in (False, True)]
     assert {c for c, _ in tops} == {0, 1} and all(n > 270 for _, n in tops)
+
+
+def plainly(vectors, least):
+    """Clusters of most mass, by the definition: components of all points at each distance, as sets."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    far = np.sqrt(np.maximum(2 - 2 * unit @ unit.T, 0))
+    core = np.sort(far, axis=1)[:, least - 1]
+    far = np.round(np.maximum(far, np.maximum(core[:, None], core)), 9)
+    levels = np.unique(far[np.triu_indices(len(far), 1)])[::-1]
+
+    def parts(members, below):
+        left, out = set(members), []
+        while left:
+            part = [left.pop()]
+            for x in part:
+                new = [y for y in left if far[x, y] < below]
+                left.difference_update(new)
+                part += new
+            out.append(sorted(part))
+        return out
+
+    def best(members, birth, k, whole):
+        mass, now = 0.0, members
+        for level in range(k, len(levels)):
+            pieces = parts(now, levels[level])
+            if len(pieces) == 1:
+                continue
+            big = [p for p in pieces if len(p) >= least]
+            gain = 1 / levels[level] - birth
+            mass += gain * sum(len(p) for p in pieces if len(p) < least or len(big) != 1)
+            if len(big) != 1:
+                inner = [best(p, 1 / levels[level], level + 1, False) for p in big]
+                below = sum(m for m, _ in inner)
+                return (mass, [members]) if mass >= below and not whole else (below, [c for _, found in inner for c in found])
+            now = big[0]
+        return mass, [] if whole else [members]
+
+    return {tuple(c) for c in best(list(range(len(far))), 0.0, 0, True)[1]}
+
+
+def test_clusters_of_most_mass_follow_the_definition():
+    rng = np.random.default_rng(5)
+    seen = collections.Counter()
+    for _ in range(30):
+        spread = rng.uniform(0.02, 0.6)
+        centres = rng.normal(0, 1, (rng.integers(2, 6), 4))
+        vectors = np.concatenate([c + rng.normal(0, spread * rng.uniform(0.3, 1), (rng.integers(5, 25), 4)) for c in centres] + [rng.normal(0, 1, (10, 4))])
+        least = int(rng.integers(3, 7))
+        label = discovery.clusters_of(vectors, least, "mass")
+        got = {tuple(np.flatnonzero(label == c).tolist()) for c in set(label.tolist()) - {-1}}
+        assert got == plainly(vectors, least)
+        seen[len(got)] += 1
+    assert len(seen) > 2
+
+
+def test_the_selection_must_be_known_and_equal_vectors_are_a_cluster():
+    same = np.repeat(np.eye(3), 20, axis=0)
+    assert discovery.clusters_of(same, 15, "mass").tolist() == np.repeat(discovery.clusters_of(same, 15, "mass")[::20], 20).tolist()
+    assert set(discovery.clusters_of(same, 15, "mass").tolist()) == {0, 1, 2}
+    assert discovery.clusters_of(same[:4], 15, "mass").tolist() == [-1] * 4
+    try:
+        discovery.clusters_of(same, 15, "most")
+    except ValueError:
+        return
+    raise AssertionError("an unknown selection was taken")
