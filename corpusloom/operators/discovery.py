@@ -133,7 +133,9 @@ def clusters_of(vectors: np.ndarray, least: int, by: str = "cut") -> np.ndarray:
         return np.full(n, -1)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     at, step = min(least - 1, n - 1), max(1, BLOCK // n)
-    core = np.concatenate([np.partition(np.maximum(2 - 2 * (unit[k : k + step] @ unit.T), 0), at, axis=1)[:, at] for k in range(0, n, step)])
+    core = np.zeros(n)
+    for k in range(0, n, step):  # filled in place: a column kept as it is would keep its block
+        core[k : k + step] = np.partition(np.maximum(2 - 2 * (unit[k : k + step] @ unit.T), 0), at, axis=1)[:, at]
     return (_by_cut if by == "cut" else _by_mass)(*_spanning(unit, np.sqrt(core)), least)
 
 
