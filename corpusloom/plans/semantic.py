@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import chunking, corpus, discovery, evaluation, memory, search, taxonomy, thresholds
+from ..operators import chunking, corpus, discovery, evaluation, index, memory, search, taxonomy, thresholds
 from ..session import written
 from .relational import query, read
 
@@ -47,6 +47,14 @@ def vector_topk_batch(spark, d):
     return _hits(spark, d)
 
 
+@query()
+def vector_topk_approximate(spark, d):
+    """The ten nearest rows for every 20th vector by an index of lists; tests measure recall."""
+    e = read(spark, d, "embeddings")
+    queries = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return index.search(index.build(e), queries, 10, skip_self=True)
+
+
 @query(f"WITH {_V} SELECT v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, round(1 - round(list_cosine_similarity(q.e, v.e), 6), 4) AS distance, row_number() OVER (ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id)::INTEGER AS rank FROM v, v q WHERE q.vec_id = 0 ORDER BY rank LIMIT 15")
 def vector_topk(spark, d):
     """The 15 nearest rows for one vector."""
