@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, divergence, licences, lines, near, packing, pages, quality, rules, treaps
+from . import archives, bpe, decontaminate, divergence, licences, lines, near, packing, pages, quality, rules, thresholds, treaps
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.passes("failed", rules.POLICIES[rules.CURRENT]).alias("kept"), "failed", *(f"kept_v{v}" for v in rules.POLICIES))
 
 
+def op11_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the greatest inner product with every 20th vector."""
+    return thresholds.top_products(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of every benchmark item."""
     return treaps.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -87,7 +92,7 @@ def op13_group_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_warc_from_arc, op2_host_suffix_array, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op7_line_join, op8_ngram_join, op9_subword_quality, op10_rule_ledger, op12_inverted_treaps, op13_group_tiles)}
+    return {f.__name__: f for f in (op1_warc_from_arc, op2_host_suffix_array, op3_licence_templates, op4_piece_tokens, op5_first_fit_packing, op6_winnowing, op7_line_join, op8_ngram_join, op9_subword_quality, op10_rule_ledger, op11_uniform_threshold, op12_inverted_treaps, op13_group_tiles)}
 
 
 #: WARC digests are the base32 of SHA-1: 8 times 5 hexadecimal digits make 4 letters.
@@ -106,4 +111,4 @@ FROM q
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the queries' names."""
-    return {"op1_warc_from_arc": _OP1_SQL, "op6_winnowing": decontaminate.SQL, "op12_inverted_treaps": treaps.SQL, "op13_group_tiles": divergence.SQL}
+    return {"op1_warc_from_arc": _OP1_SQL, "op6_winnowing": decontaminate.SQL, "op11_uniform_threshold": thresholds.SQL, "op12_inverted_treaps": treaps.SQL, "op13_group_tiles": divergence.SQL}

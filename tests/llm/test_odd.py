@@ -289,7 +289,7 @@ def test_queries_of_the_entry(spark, data):
     import __spark_entry__
 
     known = {k: v for k, v in __spark_entry__.queries().items() if re.match(r"op\d+_|pipeline", k)}
-    assert len(known) == 13
+    assert len(known) == 14
     for name in ("op3_licence_templates", "op4_piece_tokens", "op9_subword_quality", "op10_rule_ledger"):
         assert known[name](spark, data).select("doc_id").count() == spark.read.parquet(f"{data}/documents.parquet").count()
     assert known["op2_host_suffix_array"](spark, data).agg(F.sum("n_chars")).first()[0] > 0
