@@ -108,3 +108,74 @@ def test_the_selection_must_be_known_and_equal_vectors_are_a_cluster():
     except ValueError:
         return
     raise AssertionError("an unknown selection was taken")
+
+
+def pools(seed, sizes):
+    rng = np.random.default_rng(seed)
+    out = []
+    for name, (dense, n_noise, width) in sizes.items():
+        vectors = np.concatenate([c + rng.normal(0, spread, (n, width)) for c, (n, spread) in zip(rng.normal(0, 1, (len(dense), width)), dense, strict=True)] + [rng.normal(0, 1, (n_noise, width))])
+        vectors = np.concatenate([vectors, vectors[:30]])  # equal vectors
+        rng.shuffle(vectors)
+        out += [(name, len(out) + i, v.tolist()) for i, v in enumerate(vectors)]
+    return out
+
+
+def partition(rows):
+    """The clusters as sets of keys."""
+    sets = collections.defaultdict(set)
+    for p, k, c in rows:
+        if c >= 0:
+            sets[p, c].add(k)
+    return {(p, frozenset(x)) for (p, _), x in sets.items()}
+
+
+def test_blocks_give_the_clusters_of_whole_pools(spark, monkeypatch):
+    rows = pools(8, {"2/hr": ([(500, 0.2), (300, 0.3), (60, 0.1)], 200, 6), "3/it": ([(700, 0.15), (40, 0.4)], 900, 8), "1/": ([(30, 0.1)], 5, 4)})
+    df = spark.createDataFrame([*rows, ("2/hr", -1, None), ("2/hr", -2, [1.0]), (None, -3, rows[0][2])], SCHEMA)
+    got = {}
+    for by in ("mass", "cut"):
+        whole = [tuple(r) for r in discovery.discover(df, "pool", by=by).collect()]
+        with monkeypatch.context() as m:
+            m.setattr(discovery, "POOL_ROWS", 100)
+            for name, value in (("BLOCK_ROWS", 150), ("GROUP_BLOCKS", 3), ("GROUPS", 4), ("LEFT", 0.02)):
+                m.setattr(discovery.forest, name, value)
+            cut = [tuple(r) for r in discovery.discover(df, "pool", by=by).collect()]
+        assert sorted(k for _, k, _ in cut) == sorted(k for _, k, _ in whole) and len(cut) == len(rows) + 3
+        assert partition(cut) == partition(whole) and len(partition(whole)) >= 4
+        assert all(c == -1 for _, k, c in cut if k < 0)
+        got[by] = partition(whole)
+    assert {tuple(r) for r in discovery.report(discovery.mass_clusters(df, "pool"), "pool").select("pool", "pool_size", "min_cluster_size", "clustered").where("pool IS NOT NULL").collect()} == {("2/hr", 1092, 15, True), ("3/it", 1670, 15, True), ("1/", 65, 15, True)}
+
+
+def test_rows_beyond_what_is_clustered(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "POOL_ROWS", 50)
+    monkeypatch.setattr(discovery, "WHOLE_ROWS", 400)
+    rows = pools(9, {"a": ([(400, 0.05), (300, 0.05)], 0, 8)})
+    got = [tuple(r) for r in discovery.discover(spark.createDataFrame(rows, SCHEMA), "pool", by="mass").collect()]
+    vectors = {k: np.array(v) for _, k, v in rows}
+    sets = [x for _, x in partition(got)]
+    assert sorted(k for _, k, _ in got) == sorted(vectors) and len(sets) == 2 and sum(map(len, sets)) > 650
+    centres = [np.mean([vectors[k] / np.linalg.norm(vectors[k]) for k in x], axis=0) for x in sets]
+    for i, x in enumerate(sets):
+        assert all(vectors[k] @ centres[i] > vectors[k] @ centres[1 - i] for k in x)
+
+
+def test_edges_between_blocks_are_those_of_the_whole_tree():
+    rng = np.random.default_rng(2)
+    for size in ((40, 90), (1, 30), (5, 1)):
+        v = rng.normal(0, 1, (sum(size), 5))
+        v[-1] = v[0]
+        unit = discovery.forest._unit(v)
+        far = discovery.forest.squares(unit, unit)
+        core = np.sqrt(np.partition(far, 3, axis=1)[:, 3])
+        whole = discovery._spanning(unit, core)[2]
+        n = size[0]
+        own = [discovery._spanning(unit[s], core[s]) if len(core[s]) > 1 else (np.zeros(0, int),) * 2 + (np.zeros(0),) for s in (slice(n), slice(n, None))]
+        own = [(a, b, np.round(w, 9)) for a, b, w in own]
+        reach = np.round(np.maximum(np.sqrt(far), np.maximum(core[:, None], core)), 9)[:n, n:]
+        a, b, w = discovery.forest.crossing(reach, own)
+        ends = [np.concatenate([own[0][0], own[1][0] + n, a]), np.concatenate([own[0][1], own[1][1] + n, b + n])]
+        length = np.concatenate([own[0][2], own[1][2], w])
+        tree = discovery.forest.joined(*ends, length)
+        assert len(tree) == sum(size) - 1 and abs(length[tree].sum() - whole.sum()) < 1e-6
