@@ -36,10 +36,11 @@ def exact_duplicates(rows: DataFrame, key: str = "doc_id", text: str = "text") -
     """key, content_hash, duplicate_of: the first row by key with equal text, null for the first itself.
 
     The first of each hash is a minimum made before the shuffle; only hashes with several rows are joined back.
+    A missing text has the hash of an empty one, but is a copy of missing ones alone.
     """
-    hashed = rows.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"))
-    first = hashed.groupBy("content_hash").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = hashed.join(first, "content_hash", "left")
+    hashed = rows.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"), F.col(text).isNull().alias("_none"))
+    first = hashed.groupBy("content_hash", "_none").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = hashed.join(first, ["content_hash", "_none"], "left")
     return same.select(key, "content_hash", F.when(F.col("first") != F.col(key), F.col("first")).alias("duplicate_of"))
 
 
@@ -76,7 +77,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], total: int, key: str,
 
 
 def manifest(rows: DataFrame, path: str, old: DataFrame | None = None) -> DataFrame:
-    """doc_index and path: rows of an old manifest as they are, new ones after them by path.
+    """doc_index and path: rows of an old manifest as they are, new ones after them by path. A null is a path like others.
 
     New paths are dealt by ranges and written once, each with its partition and its place there; a partition's rows
     are counted from what was written, and its offset is added. So counts and rows can't differ.
@@ -85,7 +86,7 @@ def manifest(rows: DataFrame, path: str, old: DataFrame | None = None) -> DataFr
     start = 0
     if old is not None:
         old = load_manifest(old, path)
-        fresh = fresh.join(old.select(path), path, "left_anti")
+        fresh = fresh.join(old.select(F.col(path).alias("_known")), F.col(path).eqNullSafe(F.col("_known")), "left_anti")
         start = old.count()
     dealt = fresh.repartitionByRange(path).sortWithinPartitions(path)
     dealt = written(dealt.select(path, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), "manifest")

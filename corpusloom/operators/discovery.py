@@ -36,7 +36,7 @@ def _spanning(unit: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarra
         point, last = rest[at], n - 1 - k
         for column in (rest, near, source, rows, reach):
             column[at] = column[last]
-        far = np.maximum(np.sqrt(np.round(np.maximum(2 - 2 * (rows[:last] @ unit[point]), 0), forest.SQUARED)), np.maximum(reach[:last], core[point]))
+        far = np.maximum(np.sqrt(forest.squares(rows[:last], unit[point])), np.maximum(reach[:last], core[point]))
         better = far < near[:last]
         near[:last][better], source[:last][better] = far[better], point
         at = int(near[:last].argmin())

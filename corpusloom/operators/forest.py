@@ -22,13 +22,35 @@ from ..session import written
 BLOCK_ROWS, GROUP_BLOCKS, GROUPS = 2048, 8, 16
 #: Edges are handed over for the last choice when a pool's rows are at least this part of them.
 LEFT = 2
-#: Digits of squared distances that count, so that equal vectors have none, and digits of lengths.
-SQUARED, DIGITS = 12, 9
+#: Squared distances below NONE are none, so that equal vectors are; lengths are counted in whole units of 1 / UNITS.
+NONE, UNITS = 1e-12, 1e9
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of rows of unit length."""
-    return np.round(np.maximum(2 - 2 * (a @ b.T), 0), SQUARED)
+    out = a @ b.T
+    out *= -2
+    out += 2
+    out[out < NONE] = 0
+    return out
+
+
+def nearer(near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` least values of each row of both; near has at most so many."""
+    if near.shape[1] == most:  # few of many are less than the greatest so far
+        r, c = np.nonzero(far < near.max(axis=1)[:, None])
+        counts = np.bincount(r, minlength=len(far))
+        some = np.full((len(far), counts.max(initial=0)), np.inf)
+        some[r, np.arange(len(r)) - (np.cumsum(counts) - counts)[r]] = far[r, c]
+        far = some
+    both = np.concatenate([near, far], axis=1)
+    return np.partition(both, most - 1, axis=1)[:, :most] if both.shape[1] > most else both
+
+
+def units(length: np.ndarray) -> np.ndarray:
+    """Lengths as whole numbers, so that sums in another order don't tell equal ones apart."""
+    length = length * UNITS
+    return np.rint(length, out=length)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -58,7 +80,7 @@ def joined(one: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray
 def crossing(far: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and length of the edges between two blocks in the least tree of both.
 
-    far: distances of rows and columns; it is changed. inner: the edges (one, other, length) of each block's own tree.
+    far: distances of rows and columns, in units; it is changed. inner: the edges (one, other, length) of each block's own tree.
     In each round every component takes its least edge; distances inside a component aren't looked at again.
     """
     n, m = far.shape
@@ -176,7 +198,7 @@ def _with_trees(blocks: DataFrame, least_of: Callable[[int], int], spanning: Cal
                 at = min(least_of(row["n"]), row["n"]) - 1
                 core = np.sqrt(np.partition(found, at, axis=1)[:, at])
                 one, other, length = spanning(_vectors(row), core) if len(core) > 1 else [np.zeros(0)] * 3
-                made = {"core": core, "one": np.asarray(one, np.int64), "other": np.asarray(other, np.int64), "length": np.round(length, DIGITS)}
+                made = {"core": core, "one": np.asarray(one, np.int64), "other": np.asarray(other, np.int64), "length": units(length)}
                 yield pa.RecordBatch.from_pylist([{"pid": row["pid"], "block": row["block"]} | {k: v.tobytes() for k, v in made.items()}], schema=SCHEMAS["trees"])
 
         for row in _rows(parts):
@@ -189,8 +211,7 @@ def _with_trees(blocks: DataFrame, least_of: Callable[[int], int], spanning: Cal
                 continue
             others, most = _vectors(row), least_of(row["n"])
             for k, mine in enumerate(own):
-                found = np.concatenate([near[k], squares(_vectors(mine), others)], axis=1)
-                near[k] = np.partition(found, most - 1, axis=1)[:, :most] if found.shape[1] > most else found
+                near[k] = nearer(near[k], squares(_vectors(mine), others), most)
         yield from done()
 
     return written(blocks.join(written(_met(blocks).mapInArrow(run, TREES), "trees"), ["pid", "block"]), "blocks-and-trees")
@@ -217,7 +238,10 @@ def _edges(blocks: DataFrame) -> DataFrame:
             for mine in own:
                 if mine["block"] < row["block"]:
                     core = np.frombuffer(mine["core"], np.float64)
-                    far = np.round(np.maximum(np.sqrt(squares(_vectors(mine), _vectors(row))), np.maximum(core[:, None], cores[None, :])), DIGITS)
+                    far = squares(_vectors(mine), _vectors(row))
+                    far = np.sqrt(far, out=far)
+                    far = np.maximum(np.maximum(far, core[:, None], out=far), cores[None, :], out=far)
+                    far = units(far)
                     a, b, w = crossing(far, [_tree(mine), _tree(row)])
                     yield batch(row, np.frombuffer(mine["nums"], np.int64)[a], nums[b], w)
 
@@ -237,7 +261,7 @@ def _renamed(best: DataFrame) -> DataFrame:
 
 
 def forest(edges: DataFrame, n_points: int) -> DataFrame:
-    """pid, a, b and w of edges that hold the least spanning forest, at most some LEFT times as many as points.
+    """pid, a, b and w (in units) of edges that hold the least spanning forest, at most some LEFT times as many as points.
 
     Borůvka's rounds: every component takes the least of its edges, by length and then ends; components that it ties
     become one; of parallel edges the least stays.
@@ -272,7 +296,7 @@ def clusters(points: DataFrame, least_of: Callable[[int], int], spanning: Callab
         names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
         one, other = ends[: len(a)], ends[len(a) :]
         tree = joined(one, other, w)
-        label = cut(one[tree], other[tree], w[tree], least_of(len(names)))
+        label = cut(one[tree], other[tree], w[tree] / UNITS, least_of(len(names)))
         return pa.Table.from_pydict({"pid": np.full(len(names), part.column("pid")[0].as_py()), "num": names, "cluster": label.astype(np.int32)})
 
     return written(edges.groupBy("pid").applyInArrow(run, "pid long, num long, cluster int"), "clusters")

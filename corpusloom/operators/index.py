@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix
+from ..functions.vectors import best_k, matrix
 from ..session import written
 
 #: Rows that centroids are learned on, those of them that are searched to set the probes, most lists, rows of a shard,
@@ -148,11 +148,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
         cos = np.round(w @ v.T, digits)
         if skip_self:
             cos[q[:, None] == own[None, :]] = -np.inf
-        ids = np.broadcast_to(own, cos.shape)
-        order = np.lexsort((ids, -cos), axis=1)[:, :k]
-        cos, ids = np.take_along_axis(cos, order, 1), np.take_along_axis(ids, order, 1)
-        ok = np.isfinite(cos)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ok.sum(axis=1))), pa.array(ids[ok]), pa.array(cos[ok])], names=["query_id", name, "cos"])
+        if cos.shape[1] > k:  # the k best and their ties
+            cos[cos < np.partition(cos, -k, axis=1)[:, -k, None]] = -np.inf
+        at, row = np.nonzero(np.isfinite(cos))
+        at, ids, best = best_k(at, own[row], cos[at, row], k)
+        return pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(ids), pa.array(best)], names=["query_id", name, "cos"])
 
     hits = dealt.mapInArrow(run, f"query_id long, {name} long, cos double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cos"), name)

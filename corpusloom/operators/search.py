@@ -9,13 +9,13 @@ from ..functions.text import occurrences, query_tokens
 
 
 def keyword_score(heading: Column, counts: Column, terms: list[str]) -> Column:
-    """Coverage of the terms, their number, and whether the lower-case heading has one; at most 1, four digits."""
+    """Coverage of the terms, their number, and whether the lower-case heading has one; at most 1, four digits, halves to the even one."""
     total, matched = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c), F.size(F.filter(counts, lambda c: c > 0))
     in_heading = F.lit(False)
     for t in terms:
         in_heading = in_heading | F.contains(heading, F.lit(t))
     score = F.lit(0.6) * matched / F.lit(len(terms)) + F.lit(0.2) * F.least(total / F.lit(5.0), F.lit(2.0)) + F.when(in_heading, 0.15).otherwise(0.0)
-    return F.when(total > 0, F.round(F.least(score, F.lit(1.0)), 4)).otherwise(0.0)
+    return F.when(total > 0, F.bround(F.least(score, F.lit(1.0)), 4)).otherwise(0.0)
 
 
 def keyword_search(chunks: DataFrame, query: str, k: int, key: str = "doc_id", heading: str = "heading", content: str = "content") -> DataFrame:

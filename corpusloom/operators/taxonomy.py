@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import matrix
 
-#: Nodes of a tree that is matched against; a tree is made by hand and does not grow with the corpus.
-MAX_NODES = 100_000
+#: Nodes of a tree that is matched against, and bytes of their vectors; a tree is made by hand and does not grow with the corpus.
+MAX_NODES, MAX_BYTES = 100_000, 256 << 20
+#: Similarities that are held at a time.
+BLOCK = 1 << 22
 
 
 def flatten(tree: dict) -> list[tuple]:
@@ -30,6 +32,7 @@ def flatten(tree: dict) -> list[tuple]:
     return out
 
 
+STATUSES = ("ASSIGNED", "PARTIAL", "FALLBACK", "UNKNOWN")
 FLAT_SCHEMA = "ord int, key string, parent_key string, level int, name string, description string, source string, path_keys array<string>, breadcrumb string"
 
 
@@ -47,8 +50,8 @@ def classify(rows: DataFrame, anchors: DataFrame, thresholds: tuple[float, float
 
     anchors: ord, level, key, parent_key, vec. The best leaf of the whole tree decides the path; its
     ancestors' scores are gated from the top. Where level 1 fails, the best node of levels 2 and 3 that reaches
-    its own threshold is the fallback (level 2 first among equals). Products are made by batch with the
-    anchors' matrix, whose size is bounded by MAX_NODES.
+    its own threshold is the fallback (level 2 first among equals). Products are made by blocks of rows with the
+    anchors' matrix, whose size is bounded by MAX_NODES and MAX_BYTES.
     """
     nodes = [r.asDict() for r in anchors.orderBy("ord").limit(MAX_NODES + 1).collect()]
     if len(nodes) > MAX_NODES:
@@ -58,65 +61,72 @@ def classify(rows: DataFrame, anchors: DataFrame, thresholds: tuple[float, float
     up2 = np.array([where[2, nodes[i]["parent_key"]] for i in leaf], np.int64)
     up1 = np.array([where[1, nodes[i]["parent_key"]] for i in up2], np.int64)
     deep = np.array([i for level in (2, 3) for i, n in enumerate(nodes) if n["level"] == level], np.int64)
+    if sum(len(n["vec"]) for n in nodes) * 8 > MAX_BYTES:
+        raise ValueError("the tree's vectors are too large")
     vecs = np.array([n["vec"] for n in nodes], np.float64)
     vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
     gate = np.array([thresholds[nodes[i]["level"] - 1] for i in deep])
-    names = [n["key"] for n in nodes]
-    levels = [n["level"] for n in nodes]
-    parents = [where.get((n["level"] - 1, n["parent_key"])) for n in nodes]
+    paths: list[str] = [""] * len(nodes)
+    for i in sorted(range(len(nodes)), key=lambda i: nodes[i]["level"]):
+        above = where.get((nodes[i]["level"] - 1, nodes[i]["parent_key"]))
+        paths[i] = nodes[i]["key"] if above is None else f"{paths[above]} > {nodes[i]['key']}"
+    tree = (vecs, leaf, up1, up2, deep, gate, np.array([*paths, ""], object), np.array([n["key"] for n in nodes], object), np.array([*(n["level"] for n in nodes), 0]))
+    sent = rows.sparkSession.sparkContext.broadcast(tree)  # at most MAX_NODES nodes and MAX_BYTES of vectors
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            cos = np.round(matrix(part.column(1)) @ vecs.T, digits)
-            best = cos[:, leaf].argmax(axis=1)
-            s1, s2, s3 = (cos[np.arange(len(cos)), x[best]] for x in (up1, up2, leaf))
-            d1 = s1 >= thresholds[0]
-            d2 = d1 & (s2 >= thresholds[1])
-            d3 = d2 & (s3 >= thresholds[2])
-            other = np.where(cos[:, deep] >= gate, cos[:, deep], -np.inf)
-            pick = other.argmax(axis=1)
-            found = np.isfinite(other[np.arange(len(cos)), pick])
-            status, depth, path = [], [], []
-            for i in range(len(cos)):
-                if d1[i]:
-                    depth.append(3 if d3[i] else 2 if d2[i] else 1)
-                    status.append("ASSIGNED" if d3[i] else "PARTIAL")
-                    chain = [up1[best[i]], up2[best[i]], leaf[best[i]]][: depth[-1]]
-                elif found[i]:
-                    status.append("FALLBACK")
-                    node, chain = int(deep[pick[i]]), []
-                    depth.append(levels[node])
-                    while node is not None:
-                        chain.insert(0, node)
-                        node = parents[node]
-                else:
-                    status.append("UNKNOWN")
-                    depth.append(0)
-                    chain = []
-                path.append(" > ".join(names[c] for c in chain))
-            leaf_names = [names[leaf[b]] for b in best]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(status), pa.array(depth, pa.int32()), pa.array(path), pa.array(leaf_names), pa.array(s1), pa.array(s2), pa.array(s3)],
-                names=[key, "status", "depth", "path", "best_leaf", "l1_score", "l2_score", "l3_score"],
-            )
+        vecs, leaf, up1, up2, deep, gate, paths, names, levels = sent.value
+        step = max(1, BLOCK // max(1, len(vecs)))
+        for whole in parts:
+            for part in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
+                cos = np.round(matrix(part.column(1)) @ vecs.T, digits)
+                at, best = np.arange(len(cos)), cos[:, leaf].argmax(axis=1)
+                chain = np.stack([np.full(len(cos), -1), up1[best], up2[best], leaf[best]])
+                s1, s2, s3 = (cos[at, x] for x in chain[1:])
+                d1 = s1 >= thresholds[0]
+                d2 = d1 & (s2 >= thresholds[1])
+                d3 = d2 & (s3 >= thresholds[2])
+                other = np.where(cos[:, deep] >= gate, cos[:, deep], -np.inf)
+                pick = other.argmax(axis=1)
+                found = ~d1 & np.isfinite(other[at, pick])
+                node = np.where(found, deep[pick], chain[d1.astype(int) + d2 + d3, at])
+                status = np.array(STATUSES, object)[np.where(d3, 0, np.where(d1, 1, np.where(found, 2, 3)))]
+                columns = [pa.array(status, pa.string()), pa.array(levels[node], pa.int32()), pa.array(paths[node], pa.string()), pa.array(names[leaf[best]], pa.string()), pa.array(s1), pa.array(s2), pa.array(s3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[key, "status", "depth", "path", "best_leaf", "l1_score", "l2_score", "l3_score"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, vector).mapInArrow(run, f"{key} {kind}, status string, depth int, path string, best_leaf string, l1_score double, l2_score double, l3_score double")
 
 
-STATUSES = ("ASSIGNED", "PARTIAL", "FALLBACK", "UNKNOWN")
-
-
 def histogram(classified: DataFrame) -> DataFrame:
     """The number of rows of each status, 0 for those that none has."""
     known = classified.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
     return known.join(classified.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _failing(thresholds: tuple[float, float, float]) -> Column:
+    """The first level whose score isn't its threshold's, null where all are; a missing score isn't."""
+    level = F.lit(None).cast("int")
+    for i in (3, 2, 1):
+        level = F.when(~F.coalesce(F.col(f"l{i}_score") >= thresholds[i - 1], F.lit(False)), i).otherwise(level)
+    return level
+
+
 def pools(classified: DataFrame, thresholds: tuple[float, float, float]) -> DataFrame:
-    """level and n of the rows whose first failing level it is."""
-    level = F.when(~F.coalesce(F.col("l1_score") >= thresholds[0], F.lit(False)), 1).when(~F.coalesce(F.col("l2_score") >= thresholds[1], F.lit(False)), 2).when(~F.coalesce(F.col("l3_score") >= thresholds[2], F.lit(False)), 3)
-    return classified.select(level.alias("level"), "best_leaf").where("level IS NOT NULL")
+    """level and best_leaf of the rows that fail a level: the first that does."""
+    return classified.select(_failing(thresholds).alias("level"), "best_leaf").where("level IS NOT NULL")
+
+
+def unassigned(classified: DataFrame, anchors: DataFrame, thresholds: tuple[float, float, float], key: str = "vec_id") -> DataFrame:
+    """key, level, parent_key and pool of the rows that fail a level: the first that does, and the node of their path above it.
+
+    Level 1 has no node above; of a row that fails level 3 it is the parent of its best leaf. The path is found by joins
+    with the tree's rows.
+    """
+    above = lambda level, child, parent: anchors.where(F.col("level") == level).select(F.col("key").alias(child), F.col("parent_key").alias(parent))
+    rows = classified.select(key, _failing(thresholds).alias("level"), "best_leaf").where("level IS NOT NULL")
+    rows = rows.join(F.broadcast(above(3, "best_leaf", "_l2")), "best_leaf", "left").join(F.broadcast(above(2, "_l2", "_l1")), "_l2", "left")  # at most MAX_NODES rows
+    parent = F.when(F.col("level") == 2, F.col("_l1")).when(F.col("level") == 3, F.col("_l2"))
+    return rows.select(key, "level", parent.alias("parent_key"), F.concat_ws("/", F.col("level").cast("string"), F.coalesce(parent, F.lit(""))).alias("pool"))
 
 
 def free_key(wanted: str, taken: set[str]) -> str:

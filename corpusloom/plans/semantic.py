@@ -34,7 +34,7 @@ _HITS = f"WITH {_V}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cos
 
 def _queries(spark, d, one=None):
     asked = F.col("vec_id") % EVERY == 0 if one is None else F.col("vec_id") == one
-    return [(r["vec_id"], r["embedding"]) for r in read(spark, d, "embeddings").where(asked).select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
+    return read(spark, d, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
 
 
 def _hits(spark, d, k=10):
@@ -198,9 +198,16 @@ def threshold_fit(spark, d):
 
 @query()
 def discovered_clusters(spark, d):
-    """Clusters among rows without a category, by pool, of most mass; tests hold these against the definition."""
-    rows = _classified(spark, d).where("status = 'UNKNOWN'").select("vec_id", F.lit("all").alias("pool"))
-    return discovery.discover(rows.join(read(spark, d, "embeddings"), "vec_id").select("pool", "vec_id", "embedding"), "pool", by="mass")
+    """Clusters among rows that fail a level, by level and node above, of most mass; tests hold these against the definition."""
+    rows = written(taxonomy.unassigned(_classified(spark, d), written(_anchors(spark, d).drop("vec"), "tree"), GATES).select("vec_id", "pool"), "unassigned")
+    return discovery.mass_clusters(rows.join(read(spark, d, "embeddings"), "vec_id").select("pool", "vec_id", "embedding"), "pool")
+
+
+@query(f"WITH {_TREE}, u AS (SELECT (CASE WHEN NOT l1_score >= 0.10 THEN 1 WHEN NOT l2_score >= 0.16 THEN 2 ELSE 3 END)::INTEGER AS level, m.k1, m.k2 FROM r JOIN m USING (vec_id) WHERE NOT (l1_score >= 0.10 AND l2_score >= 0.16 AND l3_score >= 0.24)) SELECT level, parent_key, count(*) AS n FROM (SELECT level, CASE level WHEN 2 THEN k1 WHEN 3 THEN k2 END AS parent_key FROM u) GROUP BY level, parent_key")
+def unassigned_by_parent(spark, d):
+    """Rows that fail a level, by the first that does and the node of their path above it."""
+    rows = taxonomy.unassigned(_classified(spark, d), _anchors(spark, d).drop("vec"), GATES)
+    return rows.groupBy("level", "parent_key").agg(F.count("*").alias("n"))
 
 
 @query("WITH l AS (SELECT DISTINCT label FROM embeddings), n AS (SELECT 'L1-' || (label // 4) AS key, 1 AS level FROM l UNION SELECT 'L2-' || (label // 2), 2 FROM l UNION SELECT 'L3-' || label, 3 FROM l) SELECT level::INTEGER AS level, count(*) AS n FROM n GROUP BY level")

@@ -47,6 +47,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: they are made once, whatever reads them, and lost executors can't lose them."""
     folder = f"{shared_folder(rows.sparkSession)}/corpusloom-{uuid.uuid4().hex}"

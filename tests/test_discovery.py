@@ -172,10 +172,10 @@ def test_edges_between_blocks_are_those_of_the_whole_tree():
         whole = discovery._spanning(unit, core)[2]
         n = size[0]
         own = [discovery._spanning(unit[s], core[s]) if len(core[s]) > 1 else (np.zeros(0, int),) * 2 + (np.zeros(0),) for s in (slice(n), slice(n, None))]
-        own = [(a, b, np.round(w, 9)) for a, b, w in own]
-        reach = np.round(np.maximum(np.sqrt(far), np.maximum(core[:, None], core)), 9)[:n, n:]
+        own = [(a, b, discovery.forest.units(w)) for a, b, w in own]
+        reach = discovery.forest.units(np.maximum(np.sqrt(far), np.maximum(core[:, None], core))[:n, n:])
         a, b, w = discovery.forest.crossing(reach, own)
         ends = [np.concatenate([own[0][0], own[1][0] + n, a]), np.concatenate([own[0][1], own[1][1] + n, b + n])]
         length = np.concatenate([own[0][2], own[1][2], w])
         tree = discovery.forest.joined(*ends, length)
-        assert len(tree) == sum(size) - 1 and abs(length[tree].sum() - whole.sum()) < 1e-6
+        assert len(tree) == sum(size) - 1 and abs(length[tree].sum() / 1e9 - whole.sum()) < 1e-6
