@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import chunking, corpus, discovery, evaluation, index, memory, search, taxonomy, thresholds
+from ..operators import chunking, corpus, discovery, evaluation, index, keyword_index, memory, search, taxonomy, thresholds
 from ..session import written
 from .relational import query, read
 
@@ -28,6 +28,12 @@ def keyword_topk(spark, d):
     return search.keyword_search(read(spark, d, "documents"), TERMS, 20, heading="source", content="text")
 
 
+@query(_KEYWORD)
+def keyword_topk_indexed(spark, d):
+    """The same by an index of character runs, which looks only at texts that can be among the best."""
+    return keyword_index.search(keyword_index.build(read(spark, d, "documents"), heading="source", content="text"), TERMS, 20)
+
+
 _V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 _HITS = f"WITH {_V}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, q.label AS ql, v.label AS vl FROM v q JOIN v ON q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10) "
 

@@ -66,10 +66,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, folder)
+    return f"{folder}/{name}"
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: they are made once, whatever reads them, and lost executors can't lose them."""
-    folder = f"{shared_folder(rows.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
-    atexit.register(_delete, rows.sparkSession, folder)
-    path = f"{folder}/{name}"
+    path = fresh_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
