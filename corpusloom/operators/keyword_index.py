@@ -1,9 +1,10 @@
 """Keyword search by postings of character runs: the answers of keyword_search without a look at most texts.
 
-Rows are dealt into blocks as they are read. For each run of one to three characters that a block has, a row tells how often
+Rows are dealt into blocks as they are read. Terms are Latin letters and digits, or one or two CJK characters; so the runs
+that count are three of the former, and one or two of the latter. For each run that a block has, a row tells how often
 a text of the block has it at most, and which texts have it how often. A term stands in a text at most as often as the
-rarest of its runs, which bounds a block's best score, and a text's. A search reads the runs of its terms
-alone; it scores texts of the most promising blocks, which gives the score that others must reach, and then looks
+rarest of its runs, which bounds a block's best score, and a text's; terms of one or two Latin letters have no run and
+bound nothing. A search reads the runs of its terms alone; it scores texts of the most promising blocks, which gives the score that others must reach, and then looks
 only at texts whose bound does. Their terms are counted exactly, as keyword_search does.
 
 Postings are sorted by run and block, so a search's filter prunes files and row groups. Nulls are empty texts. Rows that repeat
@@ -39,30 +40,42 @@ class Index:
     key: str
 
 
+#: Of each ASCII character that is a letter or digit, its number from 1.
+_LATIN = np.zeros(128, np.uint8)
+_LATIN[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_LATIN[ord("0") : ord("9") + 1] = np.arange(27, 37)
+#: The first and the number of CJK characters, and what tells their codes from those of Latin runs.
+_CJK, _MANY, _ONE, _TWO = 0x4E00, 0x5200, 1 << 20, 1 << 40
+
+
 def run_codes(term: str) -> list[int]:
-    """The runs of a term: its character triples, or itself if it is shorter."""
-    codes = [ord(c) + 1 for c in term]
-    n = min(3, len(codes))
-    return sorted({sum(c << 21 * (n - 1 - i) for i, c in enumerate(codes[k : k + n])) for k in range(len(codes) - n + 1)})
+    """The runs of a term; none of one or two Latin letters."""
+    codes = [ord(c) for c in term]
+    if codes and all(_CJK <= c < _CJK + _MANY for c in codes):
+        return [_ONE + codes[0] - _CJK] if len(codes) == 1 else sorted({_TWO + (a - _CJK << 16) + b - _CJK for a, b in zip(codes, codes[1:], strict=False)})
+    own = [int(_LATIN[c]) for c in codes]
+    return sorted({(a << 12) + (b << 6) + c for a, b, c in zip(own, own[1:], own[2:], strict=False)})
 
 
 def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """run, text and count of each run of one to three characters of the texts, by run and text."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1 for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    found = []
-    run = code
-    for n in (1, 2, 3):
-        if n > 1:
-            run = (run[:-1] << 21) | code[n - 1 :]
-        inside = owner[: len(run)] == owner[n - 1 : n - 1 + len(run)]
-        found.append((run[inside], owner[: len(run)][inside]))
+    """run, text and count of each run of the texts, by run and text."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    own = np.zeros(1, np.uint32)  # stands between two texts
+    code = np.concatenate([x for c in codes for x in (c, own)]) if codes else own
+    owner = np.repeat(np.arange(len(texts)), [len(c) + 1 for c in codes]) if codes else np.zeros(1, np.int64)
+    latin = np.where(code < 128, _LATIN[np.minimum(code, 127)], 0).astype(np.int64)
+    at = np.flatnonzero((latin[:-2] > 0) & (latin[1:-1] > 0) & (latin[2:] > 0))
+    found = [((latin[at] << 12) + (latin[at + 1] << 6) + latin[at + 2], owner[at])]
+    near = (code >= _CJK) & (code < _CJK + _MANY)
+    if near.any():
+        cjk = code.astype(np.int64) - _CJK
+        one = np.flatnonzero(near)
+        two = np.flatnonzero(near[:-1] & near[1:])
+        found += [(_ONE + cjk[one], owner[one]), (_TWO + (cjk[two] << 16) + cjk[two + 1], owner[two])]
     run, text = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(run, kind="stable")  # of equal runs of a length, texts stay in order
-    run, text = run[order], text[order]
-    first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (text[1:] != text[:-1])])) if len(run) else np.zeros(0, np.int64)
-    return run[first], text[first], np.diff(first, append=len(run))
+    width = max(1, len(texts))
+    pairs, count = np.unique(run * width + text, return_counts=True)
+    return pairs // width, pairs % width, count
 
 
 def build(rows: DataFrame, key: str = "doc_id", heading: str = "heading", content: str = "content") -> Index:
@@ -110,7 +123,7 @@ def _bound(matched: Column, total: Column, n_terms: int) -> Column:
 
 def _terms(index: Index, terms: list[str]) -> DataFrame:
     """run, term, n_runs of the term, and how often the query has the term."""
-    rows = [(code, t, len(run_codes(t)), terms.count(t)) for t in sorted(set(terms)) for code in run_codes(t)]
+    rows = [(code, t, len(run_codes(t)), terms.count(t)) for t in sorted({t for t in terms if run_codes(t)}) for code in run_codes(t)]
     return index.runs.sparkSession.createDataFrame(rows, "run long, term string, n_runs int, times int")
 
 
@@ -126,19 +139,28 @@ def _inside(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.where(F.col("block").isin(few)) if len(few) <= NAMED else rows.join(blocks.select("block"), "block", "left_semi")
 
 
+def _summed(rows: DataFrame, every: DataFrame, by: list[str], terms: list[str]) -> DataFrame:
+    """The bounds of what has the terms of rows (``by``, most, times). Terms without a run may stand in everything, often."""
+    loose = sum(not run_codes(t) for t in terms)
+    sums = rows.groupBy(*by).agg(F.sum("times").alias("_m"), F.sum(F.col("most") * F.col("times")).alias("_t"))
+    if loose:
+        sums = every.join(sums, by, "left").select(*by, (F.coalesce("_m", F.lit(0)) + loose).alias("_m"), F.lit(1e9).alias("_t"))
+    return sums.select(*by, _bound(F.col("_m"), F.col("_t"), len(terms)).alias("bound"))
+
+
 def block_bounds(index: Index, terms: list[str]) -> DataFrame:
     """block and bound of the blocks in which a text may have a term."""
     # of pieces of a block the greatest counts
     rows = _postings(index, terms).groupBy("block", "term", "run").agg(F.max("most").alias("most"), F.first("n_runs").alias("n_runs"), F.first("times").alias("times"))
     rows = rows.groupBy("block", "term").agg(F.min("most").alias("most"), F.count("*").alias("n"), F.first("n_runs").alias("n_runs"), F.first("times").alias("times")).where("n = n_runs")
-    return rows.groupBy("block").agg(_bound(F.sum("times"), F.sum(F.col("most") * F.col("times")), len(terms)).alias("bound"))
+    return _summed(rows, index.texts.select("block").distinct(), ["block"], terms)
 
 
 def text_bounds(index: Index, terms: list[str], blocks: DataFrame) -> DataFrame:
     """block, place and bound of the texts of some blocks that may have a term."""
     rows = _inside(_postings(index, terms), blocks).select("block", "term", "n_runs", "times", F.inline(F.arrays_zip("places", "counts"))).withColumnRenamed("places", "place")
     rows = rows.groupBy("block", "place", "term").agg(F.min("counts").alias("most"), F.count("*").alias("n"), F.first("n_runs").alias("n_runs"), F.first("times").alias("times")).where("n = n_runs")
-    return rows.groupBy("block", "place").agg(_bound(F.sum("times"), F.sum(F.col("most") * F.col("times")), len(terms)).alias("bound"))
+    return _summed(rows, _inside(index.texts, blocks).select("block", "place"), ["block", "place"], terms)
 
 
 def _scored(index: Index, terms: list[str], wanted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import chunking, corpus, discovery, evaluation, index, keyword_index, memory, search, taxonomy, thresholds
+from ..operators import chunking, corpus, discovery, evaluation, index, keyword_index, memory, rounds, search, taxonomy, thresholds, trees
 from ..session import written
 from .relational import query, read
 
@@ -216,17 +216,68 @@ def unassigned_by_parent(spark, d):
     return rows.groupBy("level", "parent_key").agg(F.count("*").alias("n"))
 
 
-@query("WITH l AS (SELECT DISTINCT label FROM embeddings), n AS (SELECT 'L1-' || (label // 4) AS key, 1 AS level FROM l UNION SELECT 'L2-' || (label // 2), 2 FROM l UNION SELECT 'L3-' || label, 3 FROM l) SELECT level::INTEGER AS level, count(*) AS n FROM n GROUP BY level")
+@query(r"WITH c AS (SELECT label::INTEGER AS label, term, count(*) AS n FROM (SELECT label, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) AS term FROM documents JOIN embeddings ON vec_id = doc_id) GROUP BY ALL), f AS (SELECT term, sum(n) AS f FROM c GROUP BY term), a AS (SELECT sum(n) / count(DISTINCT label) AS a FROM c) SELECT label, term, n, round(n * ln(1 + a / f), 6) AS score, row_number() OVER (PARTITION BY label ORDER BY round(n * ln(1 + a / f), 6) DESC, term)::INTEGER AS rank FROM c JOIN f USING (term), a QUALIFY rank <= 5")
+def cluster_terms(spark, d):
+    """The terms that mark the documents of each label, from which clusters get their names."""
+    rows = read(spark, d, "documents").join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("label")), "doc_id")
+    return rounds.class_terms(rows, "label", "text", 5)
+
+
+@query()
+def discovery_rounds(spark, d):
+    """Measures of a tree before and after rounds that cluster, name and graft what it doesn't take; tests have a planted tree."""
+    rows = read(spark, d, "embeddings").join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    nodes = _nodes(spark, d).join(_anchors(spark, d).select("key", "vec"), "key").where("key <> 'L3-9' AND key <> 'L3-4'")
+    made = rounds.discover(rows, nodes, GATES, 2)
+    out = None
+    for version, r in enumerate(made, 1):
+        part = r.measures.select(F.lit(version).alias("version"), "measure", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nodes(spark, d):
+    """The rows of a tree whose leaves are the labels of the vectors."""
+    labels = read(spark, d, "embeddings").select("label").distinct()
+    parts = []
+    for level, width, above in ((1, 4, None), (2, 2, 4), (3, 1, 2)):
+        g = labels.select(F.floor(F.col("label") / width).cast("int").alias("place")).distinct()
+        parent = F.concat(F.lit(f"L{level - 1}-"), F.floor(F.col("place") * width / above).cast("string")) if above else F.lit(None).cast("string")
+        key = F.concat(F.lit(f"L{level}-"), F.col("place").cast("string"))
+        parts.append(g.select(key.alias("key"), parent.alias("parent_key"), "place", F.concat(F.lit("Node "), key).alias("name"), F.lit("of labels").alias("description"), F.when(F.col("place") % 3 == 0, "discovered").otherwise("seed").alias("source")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_NODES = """RECURSIVE l AS (SELECT DISTINCT label::INTEGER AS label FROM embeddings),
+ n AS (SELECT DISTINCT 'L1-' || (label // 4) AS key, NULL AS parent_key, label // 4 AS place, 1 AS level FROM l UNION SELECT 'L2-' || (label // 2), 'L1-' || (label // 4), label // 2, 2 FROM l UNION SELECT 'L3-' || label, 'L2-' || (label // 2), label, 3 FROM l),
+ t AS (SELECT key, place, level, [place] AS path, 'Node ' || key AS crumb, [key] AS keys FROM n WHERE parent_key IS NULL UNION ALL SELECT n.key, n.place, n.level, list_append(path, n.place), crumb || ' > Node ' || n.key, list_append(keys, n.key) FROM t JOIN n ON n.parent_key = t.key),
+ o AS (SELECT *, (row_number() OVER (ORDER BY path) - 1)::INTEGER AS ord FROM t)"""
+
+
+@query(f"WITH {_NODES} SELECT level::INTEGER AS level, count(*) AS n FROM o GROUP BY level")
 def taxonomy_nodes(spark, d):
-    """Nodes by level of a flattened tree."""
-    tree: dict = {}
-    for r in read(spark, d, "embeddings").select("label").distinct().orderBy("label").collect():  # labels are few
-        i = r["label"]
-        top = tree.setdefault(f"L1-{i // 4}", {"name": f"L1-{i // 4}", "desc": "top", "children": {}})
-        mid = top["children"].setdefault(f"L2-{i // 2}", {"name": f"L2-{i // 2}", "desc": "middle", "children": {}})
-        mid["children"][f"L3-{i}"] = {"name": f"L3-{i}", "desc": "leaf"}
-    nodes = spark.createDataFrame(taxonomy.flatten(tree), taxonomy.FLAT_SCHEMA)
-    return nodes.join(taxonomy.problems(nodes), "key", "left_anti").groupBy("level").agg(F.count("*").alias("n"))
+    """Nodes by level of a tree without faults."""
+    nodes = written(_nodes(spark, d), "nodes")
+    return trees.flat(nodes).join(trees.faults(nodes), "key", "left_anti").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NODES} SELECT ord, key, level::INTEGER AS level, crumb AS breadcrumb, (SELECT count(*) - 1 FROM t x WHERE list_contains(x.keys, o.key)) AS n_below FROM o")
+def tree_order(spark, d):
+    """The nodes of a tree in depth-first order, with their paths and the sizes of their subtrees."""
+    return trees.flat(written(_nodes(spark, d), "nodes")).select("ord", "key", "level", "breadcrumb", "n_below")
+
+
+@query(f"WITH {_NODES} SELECT level::INTEGER AS level, CASE WHEN place % 3 = 0 THEN 'discovered' ELSE 'seed' END AS source, count(*) AS n FROM o GROUP BY ALL")
+def nodes_by_source(spark, d):
+    """Nodes by level and source."""
+    return trees.counts(trees.flat(written(_nodes(spark, d), "nodes")))
+
+
+@query(f"WITH {_NODES}, m AS (SELECT key, keys, coalesce(n, 0) AS n FROM o LEFT JOIN (SELECT 'L3-' || label AS key, count(*) AS n FROM embeddings GROUP BY 1) USING (key)) SELECT a.key, sum(b.n)::BIGINT AS n FROM m a JOIN m b ON list_contains(b.keys, a.key) GROUP BY a.key")
+def rows_below(spark, d):
+    """Rows that have a node's label or one below it, of every node."""
+    rows = read(spark, d, "embeddings").select(F.concat(F.lit("L3-"), F.col("label").cast("string")).alias("best_leaf"))
+    return trees.matched_below(written(trees.flat(written(_nodes(spark, d), "nodes")), "tree"), rows)
 
 
 @query(_HITS + "SELECT category, count(*) AS n, round(avg((coalesce(r, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(r, 99) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(r, 99) <= 5)::INT), 6) AS hit_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT vec_id AS q, label::BIGINT AS category FROM embeddings WHERE vec_id % 20 = 0) LEFT JOIN (SELECT query_id, min(rank) AS r FROM h WHERE ql = vl GROUP BY query_id) ON query_id = q GROUP BY ROLLUP (category)")

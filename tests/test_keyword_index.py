@@ -56,7 +56,9 @@ def test_few_texts_are_looked_at(spark, monkeypatch):
 
 
 def test_codes():
-    assert keyword_index.run_codes("ab") == [(98 << 21) | 99] and len(keyword_index.run_codes("abcd")) == 2 and len(keyword_index.run_codes("aaaaa")) == 1
-    run, text, count = keyword_index.runs_of(["aba", "", "ab"])
+    codes = keyword_index.run_codes
+    assert codes("ab") == [] and len(codes("abcd")) == 2 and len(codes("aaaaa")) == 1 and len(codes("制")) == len(codes("制度")) == 1 and codes("制") != codes("制度")
+    run, text, count = keyword_index.runs_of(["abab abab", "", "ab a制度", "bab"])
     found = {(int(a), int(b)): int(c) for a, b, c in zip(run, text, count, strict=True)}
-    assert found[98, 0] == 2 and found[99, 2] == 1 and found[(98 << 21) | 99, 0] == 1 and found[(98 << 42) | (99 << 21) | 98, 0] == 1 and len(found) == 8
+    (aba,), (bab,), (one,), (two,) = codes("aba"), codes("bab"), codes("度"), codes("制度")
+    assert found == {(aba, 0): 2, (bab, 0): 2, (bab, 3): 1, (one, 2): 1, (codes("制")[0], 2): 1, (two, 2): 1}
