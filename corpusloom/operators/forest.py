@@ -77,47 +77,64 @@ def joined(one: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray
     return np.array(out, np.int64)
 
 
+def _groups(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, an order of their places, and where each begins in it."""
+    order = np.argsort(names, kind="stable")
+    own = names[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], order, first
+
+
 def crossing(far: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and length of the edges between two blocks in the least tree of both.
 
-    far: distances of rows and columns, in units; it is changed. inner: the edges (one, other, length) of each block's own tree.
-    In each round every component takes its least edge; distances inside a component aren't looked at again.
+    far: distances of rows and columns, in units. inner: the edges (one, other, length) of each block's own tree.
+    In each round every component takes its least edge; then rows, and columns, of a component become one by their least
+    distances, so later rounds look at few.
     """
     n, m = far.shape
-    label = np.arange(n + m)
+    label = np.arange(n + m)  # of rows, then columns
     ends = [np.concatenate([inner[0][k], inner[1][k] + n]) for k in (0, 1)]
     length = np.concatenate([inner[0][2], inner[1][2]])
-    out: list[tuple[np.ndarray, ...]] = []
+    least, rows, columns = far, np.arange(n), np.arange(m) + n  # distances of components, and their names
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     while True:
-        c, r = far.argmin(axis=1), far.argmin(axis=0)
-        u = np.concatenate([np.arange(n), r, *ends])
-        v = np.concatenate([c + n, np.arange(m) + n, *ends[::-1]])
-        w = np.concatenate([far[np.arange(n), c], far[r, np.arange(m)], length, length])
-        open_ = (label[u] != label[v]) & np.isfinite(w)
-        if not open_.any():
+        c, r = least.argmin(axis=1), least.argmin(axis=0)
+        i, j = np.concatenate([np.arange(len(rows)), r]), np.concatenate([c, np.arange(len(columns))])
+        u, v = np.concatenate([rows[i], label[ends[0]]]), np.concatenate([columns[j], label[ends[1]]])
+        w = np.concatenate([least[i, j], length])
+        open_ = np.flatnonzero((u != v) & np.isfinite(w))
+        if not len(open_):
             break
-        u, v, w = u[open_], v[open_], w[open_]
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        owner = np.concatenate([label[u], label[v]])
-        order = np.lexsort((np.tile(high, 2), np.tile(low, 2), np.tile(w, 2), owner))
-        first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] % len(u)
-        low, high, w = low[first], high[first], w[first]
-        # these join components as a forest, if one is left out of those that are there twice
-        kept = joined(label[low], label[high], w)
-        low, high, w = low[kept], high[kept], w[kept]
-        across = (low < n) & (high >= n)
-        out.append((low[across], high[across] - n, w[across]))
-        a, b = label[low], label[high]
-        while True:  # the least label of a component goes to all of it
-            least = np.arange(n + m)
-            np.minimum.at(least, a, b)
-            np.minimum.at(least, b, a)
-            least = np.minimum(least, least[least])
-            new = least[label]
-            if (new == label).all():
+        owner, edge = np.concatenate([u[open_], v[open_]]), np.tile(open_, 2)
+        order = np.lexsort((w[edge], owner))
+        first = np.unique(edge[order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]])
+        first = first[joined(u[first], v[first], w[first])]  # edges of one length may close a ring
+        across = first[first < len(i)]
+        if least is far:
+            out.append((i[across], j[across], w[across]))
+        elif len(across):
+            (own, by_row, begin), (other, by_column, start) = _groups(label[:n]), _groups(label[n:])
+            begin, start, where = np.append(begin, n), np.append(start, m), []
+            for x, y, z in zip(np.searchsorted(own, u[across]).tolist(), np.searchsorted(other, v[across]).tolist(), w[across].tolist(), strict=True):
+                x, y = by_row[begin[x] : begin[x + 1]], by_column[start[y] : start[y + 1]]
+                at = int((far[np.ix_(x, y)] == z).argmax())
+                where.append((x[at // len(y)], y[at % len(y)]))
+            a, b = np.array(where, np.int64).T
+            out.append((a, b, w[across]))
+        u, v, new = u[first], v[first], np.arange(n + m)
+        while True:  # the least name of a component goes to all of it
+            low = np.minimum(new[u], new[v])
+            np.minimum.at(new, new[u], low)
+            np.minimum.at(new, new[v], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new[u] == new[v]).all():
                 break
-            a, b, label = least[a], least[b], new
-        far[label[:n, None] == label[None, n:]] = np.inf
+        label = new[label]
+        (rows, by_row, a), (columns, by_column, b) = _groups(new[rows]), _groups(new[columns])
+        least = np.minimum.reduceat(np.minimum.reduceat(least[by_row], a, axis=0)[:, by_column], b, axis=1)
+        least[rows[:, None] == columns[None, :]] = np.inf
         stay = label[ends[0]] != label[ends[1]]
         ends, length = [x[stay] for x in ends], length[stay]
     a, b, w = (np.concatenate(x) for x in zip(*out, strict=True))
