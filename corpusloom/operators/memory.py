@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..session import written
 
 
 def recent_turns(turns: DataFrame, n: int, by: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -17,11 +18,39 @@ def recent_turns(turns: DataFrame, n: int, by: str = "conv_id", order: str = "tu
     return turns.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def numbered(turns: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The turns with ``_n``, their place in their conversation from 0, written.
+
+    Turns are dealt by ranges of conversation and order, so a long conversation spreads over tasks; a turn's place is the
+    one in its part plus what earlier parts have of the conversation. Only counts of parts are brought together.
+    """
+    dealt = turns.repartitionByRange(by, order).sortWithinPartitions(by, order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(dealt.select("*", F.spark_partition_id().alias("_p"), at.alias("_i")), "turns")
+    parts = dealt.groupBy(by, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    parts = written(parts.select(F.col(by).alias("_by"), "_p", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")), "parts")
+    rows = dealt.join(parts.withColumnRenamed("_p", "_q"), dealt[by].eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
+    return rows.select(*turns.columns, (F.col("_before") + F.col("_i") - F.col("_first")).alias("_n"))
+
+
+#: Turns of a conversation that one task orders.
+STRETCH = 10_000
+
+
 def context_frame(turns: DataFrame, n: int, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """Each turn with the n turns before it, oldest first, as "role: text" lines."""
-    frame = Window.partitionBy(by).orderBy(order).rowsBetween(-n, -1)
-    lines = F.collect_list(F.concat_ws(": ", "role", text)).over(frame)
-    return turns.select(by, order, F.array_join(lines, "\n").alias("context"), F.size(lines).alias("n_context"))
+    """Each turn with the n turns before it, oldest first, as "role: text" lines.
+
+    A conversation is cut into stretches of bounded size, each with a copy of the n turns before it, so no conversation is one
+    task's work. Turns of equal order come in the order of their stretch.
+    """
+    stretch = max(STRETCH, n)
+    rows = numbered(turns.select(by, order, "role", text), by, order).withColumn("_s", F.floor(F.col("_n") / stretch))
+    ahead = rows.where(F.col("_n") % stretch >= stretch - n).withColumn("_s", F.col("_s") + 1)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(ahead.withColumn("_own", F.lit(False)))
+    lines = F.collect_list(F.concat_ws(": ", "role", text)).over(Window.partitionBy(by, "_s").orderBy("_n").rowsBetween(-n, -1))
+    framed = both.select(by, order, "_own", lines.alias("_l")).where("_own")
+    return framed.select(by, order, F.array_join("_l", "\n").alias("context"), F.size("_l").alias("n_context"))
 
 
 def hydrate(memories: DataFrame, turns: DataFrame, source: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import encoders, text
-from ..operators import corpus, memory, store
+from ..operators import corpus, evaluation, memory, patterns, store
 from .relational import query, read
 from .semantic import _HITS, _TREE, _V, EVERY, _classified, _hits
 
@@ -247,3 +247,29 @@ def hashing_embedding(spark, d):
     rows = encoders.hashed_counts(read(spark, d, "documents"), "doc_id", "text")
     total = lambda f: F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + f(x))
     return rows.select("doc_id", total(lambda x: x).alias("n_tokens"), total(lambda x: x * x).alias("squares"))
+
+
+@query("SELECT item_id, doc_id, first FROM (SELECT item_id, doc_id, (strpos(d.text, substr(b.text, 1, 40)) - 1)::BIGINT AS first FROM benchmark b, documents d) WHERE first >= 0")
+def passages_found(spark, d):
+    """Where the beginnings of all benchmark texts stand in documents, by one automaton."""
+    beginnings = read(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.substring("text", 1, 40).alias("pattern"))
+    return patterns.found(read(spark, d, "documents"), beginnings, "doc_id", F.col("text")).select(F.col("name").alias("item_id"), "doc_id", "first")
+
+
+_SET = """q AS (SELECT CAST(item_id - item_id % 10 // 9 AS VARCHAR) AS id, text AS query, CASE item_id % 7 WHEN 0 THEN 'odd' ELSE 'direct' END AS category, CAST(item_id AS VARCHAR) AS doc, 'src' || (item_id % 20) AS path, substr(text, 1, 9) AS heading, ['the', substr(text, 1, 14)] AS evidence FROM benchmark),
+ d AS (SELECT CAST(doc_id AS VARCHAR) AS doc, source, text FROM documents), m AS (SELECT q.*, d.doc AS there, d.source, d.text FROM q LEFT JOIN d USING (doc))"""
+
+
+@query(f"""WITH {_SET} SELECT DISTINCT id, problem, what FROM (SELECT id, 'repeated id' AS problem, id AS what FROM q WHERE id IN (SELECT id FROM q GROUP BY id HAVING count(*) > 1)
+ UNION ALL SELECT id, 'repeated query', query FROM q WHERE query IN (SELECT query FROM q GROUP BY query HAVING count(*) > 1) UNION ALL SELECT id, 'unknown category', category FROM q WHERE category = 'odd'
+ UNION ALL SELECT id, 'missing document', doc FROM m WHERE there IS NULL UNION ALL SELECT id, 'other source path', path FROM m WHERE there IS NOT NULL AND source <> path
+ UNION ALL SELECT id, 'heading not in document', heading FROM m WHERE there IS NOT NULL AND NOT contains(text, heading) UNION ALL SELECT id, 'evidence not in document', e FROM (SELECT id, text, unnest(evidence) AS e FROM m WHERE there IS NOT NULL) WHERE NOT contains(text, e))""")
+def evaluation_problems(spark, d):
+    """What is wrong with benchmark items taken as evaluation queries for the documents of their numbers."""
+    number = F.col("item_id")
+    asked = read(spark, d, "benchmark").select(
+        (number - F.floor(number % 10 / 9)).cast("string").alias("id"), F.col("text").alias("query"), F.when(number % 7 == 0, "odd").otherwise("direct").alias("category"), F.lit("easy").alias("difficulty"), number.cast("string").alias("expected_document_id"),
+        F.concat(F.lit("src"), (number % 20).cast("string")).alias("expected_source_path"), F.substring("text", 1, 9).alias("expected_heading"), F.array(F.lit("the"), F.substring("text", 1, 14)).alias("expected_evidence"), F.lit(None).cast("array<struct<document_id:string,heading:string>>").alias("acceptable_documents"),
+    )
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_path"), F.col("text").alias("content"))
+    return evaluation.problems(asked, docs, ["direct"], ["easy"])
