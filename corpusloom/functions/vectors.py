@@ -134,7 +134,33 @@ def _cells(corpus: DataFrame, queries: DataFrame, n: int, values: int, k: int, k
     rows = rows.withColumn("shard", at("id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.select(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("asked").cast("array<double>").alias("vector"))
     asked = asked.withColumn("block", at("id", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = asked.unionByName(rows).select("shard", "block", "side", "id", "vector").repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
+    return _met(asked.unionByName(rows).select("shard", "block", "side", "id", "vector"), k, key, skip_self, digits)
+
+
+def top_k_within(corpus: DataFrame, queries: DataFrame, k: int, by: str, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True, digits: int = 6) -> DataFrame:
+    """query_id, key, cos and rank: the k most similar rows of each query's own group. queries: query_id, by, asked.
+
+    A group's rows are dealt into shards and its queries into blocks, which meet in cells, so a frequent group is many
+    tasks' work; a cell returns k rows a query. Groups without a query aren't shuffled.
+    """
+    counts = lambda rows, size, name: rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias(name))
+    rows = corpus.join(queries.select(by).distinct(), by, "left_semi")
+    sizes = counts(rows, SHARD_ROWS, "_shards").join(counts(queries, QUERY_BLOCK, "_blocks"), by)
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shown = rows.join(sizes, by).select(by, "_blocks", at(key, "_shards").alias("_shard"), F.lit(1).alias("side"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    shown = shown.select("*", each("_blocks").alias("_block"))
+    asked = queries.join(sizes, by).select(by, "_shards", at("query_id", "_blocks").alias("_block"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("asked").cast("array<double>").alias("vector"))
+    asked = asked.select("*", each("_shards").alias("_shard"))
+    cell = lambda df: df.select(F.xxhash64(by).alias("shard"), F.hash("_shard", "_block").alias("block"), "side", "id", "vector")
+    out = _met(cell(asked).unionByName(cell(shown)), k, key, skip_self, digits)
+    order = Window.partitionBy("query_id").orderBy(F.desc("cos"), key)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _met(rows: DataFrame, k: int, key: str, skip_self: bool, digits: int) -> DataFrame:
+    """The k nearest rows (side 1) of each query (side 0) of each cell (shard, block)."""
+    dealt = rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, names, own, nearest = None, [], [], None

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: What headings, tokens and sentences' ends look like.
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
@@ -34,11 +36,22 @@ def sections(text: str) -> list[tuple[list[str], int, int]]:
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
-    while a < b and text[a].isspace():
-        a += 1
-    while b > a and text[b - 1].isspace():
-        b -= 1
-    return a, b
+    """The span without white space at its ends; an empty one at its end if it has nothing else."""
+    inner = text[a:b].strip()
+    at = text.index(inner, a) if inner else b
+    return at, at + len(inner)
+
+
+#: Counters of tokens by name; others may be added.
+COUNTERS: dict[str, Callable[[str], int]] = {"words": count_tokens, "quarters": lambda text: -(-len(text) // 4)}
+
+
+def _measured(text: str, size: Callable[[str], int]) -> Callable[[int, int], int]:
+    """Tokens of a span of a text. Spans begin and end between words, so their tokens are counted once for the whole text."""
+    if size is not count_tokens:
+        return lambda a, b: size(text[a:b])
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    return lambda a, b: bisect_left(starts, b) - bisect_left(starts, a)
 
 
 def simple_chunks(text: str) -> list[tuple[str | None, str]]:
@@ -51,7 +64,7 @@ def simple_chunks(text: str) -> list[tuple[str | None, str]]:
     return out or ([(None, text)] if text.strip() else [])
 
 
-def _units(text: str, a: int, b: int, size: Callable[[str], int]) -> list[tuple[int, int]]:
+def _units(text: str, a: int, b: int, size: Callable[[int, int], int]) -> list[tuple[int, int]]:
     """Spans of at most MOST tokens: paragraphs, else sentences, else runs of white-space words."""
     out: list[tuple[int, int]] = []
     at = a
@@ -61,7 +74,7 @@ def _units(text: str, a: int, b: int, size: Callable[[str], int]) -> list[tuple[
         at = a + m.end() if m else b
         if p == q:
             continue
-        if size(text[p:q]) <= MOST:
+        if size(p, q) <= MOST:
             out.append((p, q))
             continue
         cut = p
@@ -71,7 +84,7 @@ def _units(text: str, a: int, b: int, size: Callable[[str], int]) -> list[tuple[
             cut = p + s.end() if s else q
             if x == y:
                 continue
-            if size(text[x:y]) <= MOST:
+            if size(x, y) <= MOST:
                 out.append((x, y))
             else:
                 words = list(re.finditer(r"\S+", text[x:y]))
@@ -81,21 +94,21 @@ def _units(text: str, a: int, b: int, size: Callable[[str], int]) -> list[tuple[
 
 def rich_chunks(text: str, size: Callable[[str], int] = count_tokens) -> list[dict]:
     """Chunks with heading path, offsets into the text, and tokens; content is always the slice at the offsets."""
-    out = []
+    out, size = [], _measured(text, size)
     for path, a, b in sections(text):
         a, b = _trim(text, a, b)
         if a == b:
             continue
         spans = [(a, b)]
-        if size(text[a:b]) > MOST:
+        if size(a, b) > MOST:
             spans, held, held_size = [], [], 0
             for unit in _units(text, a, b, size):
-                n = size(text[unit[0] : unit[1]])
+                n = size(*unit)
                 if held and held_size + n > TARGET:
                     spans.append((held[0][0], held[-1][1]))
                     tail, tail_size = [], 0
                     for u in reversed(held):
-                        t = size(text[u[0] : u[1]])
+                        t = size(*u)
                         if tail_size + t > OVERLAP:
                             break
                         tail.insert(0, u)
@@ -106,7 +119,7 @@ def rich_chunks(text: str, size: Callable[[str], int] = count_tokens) -> list[di
             if held:
                 spans.append((held[0][0], held[-1][1]))
         for p, q in spans:
-            out.append({"heading_path": path, "start": p, "end": q, "content": text[p:q], "token_count": size(text[p:q])})
+            out.append({"heading_path": path, "start": p, "end": q, "content": text[p:q], "token_count": size(p, q)})
     return out
 
 
@@ -119,14 +132,15 @@ def identity(doc: str, index: int, path: list[str], content: str, version: str =
 RICH = "chunk_id string, chunk_index int, heading_path array<string>, start int, end int, token_count int, content_hash string, content string"
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rich chunks of each document; a narrow pass."""
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", counter: str = "words") -> DataFrame:
+    """Rich chunks of each document by a counter of COUNTERS; a narrow pass."""
+    size = COUNTERS[counter]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows: list[list] = [[] for _ in range(9)]
             for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for i, c in enumerate(rich_chunks(body or "")):
+                for i, c in enumerate(rich_chunks(body or "", size)):
                     name, digest = identity(str(doc), i, c["heading_path"], c["content"])
                     for column, x in zip(rows, (doc, name, i, c["heading_path"], c["start"], c["end"], c["token_count"], digest, c["content"]), strict=True):
                         column.append(x)

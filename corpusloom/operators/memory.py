@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import top_k_within
 from ..session import written
 
 
@@ -74,10 +74,7 @@ def recall(vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int,
     The scope is filtered before the search; status comes from the table of memories, which is the truth: hits that it
     lacks or that aren't active go after the ranking, as the index may lag behind it. queries: query_id, scope, asked.
     """
-    near = vectors.select(F.col(scope), F.col(key), F.col(vector)).join(queries, scope)
-    near = near.where(F.col("query_id") != F.col(key)).select("query_id", key, F.round(cosine(F.col("asked"), F.col(vector)), digits).alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), key))
-    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = top_k_within(vectors, queries, k, scope, key, vector, True, digits)
     return best.join(memories.where("status = 'active'").select(key), key).select("query_id", key, "cos", "rank")
 
 
