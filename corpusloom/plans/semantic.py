@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import chunking, corpus, discovery, evaluation, index, keyword_index, memory, rounds, search, taxonomy, thresholds, trees
+from ..operators import chunking, codes, corpus, discovery, evaluation, index, keyword_index, memory, rounds, search, taxonomy, thresholds, trees
 from ..session import written
 from .relational import query, read
 
@@ -61,6 +61,13 @@ def vector_topk_approximate(spark, d):
     return index.search(index.build(e), queries, 10, skip_self=True)
 
 
+@query(_HITS + "SELECT query_id, vec_id, cos, rank FROM h")
+def vector_topk_codes(spark, d):
+    """The same ten rows by codes of a byte a component, whose bounds leave few vectors to compare."""
+    e = read(spark, d, "embeddings")
+    return codes.search(codes.build(e), _queries(spark, d), 10, skip_self=True)
+
+
 @query(f"WITH {_V} SELECT v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, round(1 - round(list_cosine_similarity(q.e, v.e), 6), 4) AS distance, row_number() OVER (ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id)::INTEGER AS rank FROM v, v q WHERE q.vec_id = 0 ORDER BY rank LIMIT 15")
 def vector_topk(spark, d):
     """The 15 nearest rows for one vector."""
