@@ -1,6 +1,6 @@
 """Licence texts and notices, matched as templates with optional and replaceable regions.
 
-A template is words, ``[optional words]`` (may nest) and ``<n>`` or ``<m,n>``, a region that any m to n
+Templates are whole texts, standard notices and opening words of public licences (licence_texts), and single sentences. One is words, ``[optional words]`` (may nest) and ``<n>`` or ``<m,n>``, a region that any m to n
 words replace. It is compiled to an automaton over words; a text is accepted where the automaton's
 mandatory words stand exactly, from any word on. Words are those of shared.FOLD, so case, punctuation
 and line breaks between words don't matter.
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import licence_texts as published
 from .shared import FOLD, Words, chunks, text_bytes
 
 #: The phrases that always count, and their labels.
@@ -50,8 +51,36 @@ BSD_END = (
     "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
+def template(text: str, **names: str) -> str:
+    """A published text as a template: its words, and the marks of optional and replaceable regions."""
+    for name, value in names.items():
+        text = text.replace(f"{{{name}}}", value)
+    return " ".join(re.findall(r"<\d+(?:,\d+)?>|[\[\]|]|[0-9a-z]+", text.lower()))
+
+
+def _gnu() -> tuple[tuple[str, str], ...]:
+    """Notices and opening words of the GNU licences."""
+    kinds = (("gpl", "General Public License", ("2|1991|june 1991", "3|2007|29 june 2007")), ("lgpl", "Lesser General Public License", ("2 1|1991 1999|february 1999", "3|2007|29 june 2007")), ("agpl", "Affero General Public License", ("3|2007|19 november 2007",)))
+    out = []
+    for label, licence, versions in kinds:
+        for version, years, date in (v.split("|") for v in versions):
+            name = f"{label}-{version.replace(' ', '.')}" + (".0" if " " not in version else "")
+            out.append((name, template(published.GNU_HEAD, licence=licence, version=version, years=years, date=date)))
+            out.append((name, template(published.GNU_NOTICE, licence=licence, version=version if " " in version else f"{version} [0]")))
+    return tuple(out)
+
+
+#: Whole texts, standard notices and opening words, see licence_texts.
+PUBLISHED = (
+    ("apache-2.0", template(published.APACHE_2)), ("apache-2.0", template(published.APACHE_2_NOTICE)), ("unlicense", template(published.UNLICENSE)), ("zlib", template(published.ZLIB)), ("bsl-1.0", template(published.BOOST_1)), ("0bsd", template(published.ZERO_BSD)), ("wtfpl", template(published.WTFPL)),
+    ("mpl-2.0", template(published.MPL_2_HEAD)), ("mpl-2.0", template(published.MPL_2_NOTICE)), ("epl-2.0", template(published.EPL_2_HEAD)),
+    ("cc-by-4.0", template(published.CC_4_HEAD, name="Attribution")), ("cc-by-sa-4.0", template(published.CC_4_HEAD, name="Attribution-ShareAlike")), ("cc-by-nc-4.0", template(published.CC_4_HEAD, name="Attribution-NonCommercial")), ("cc-by-nd-4.0", template(published.CC_4_HEAD, name="Attribution-NoDerivatives")),
+    *_gnu(),
+)
+
 #: Wording of public licences and of notices that point to them.
 TEMPLATES = (
+    *PUBLISHED,
     ("mit", f"[the] [mit] [license] [<0,2> copyright [c] <0,12> [all rights reserved]] {MIT}"),
     ("isc", f"[isc license] [copyright [c] <0,12>] {ISC}"),
     ("bsd-2-clause", f"[copyright [c] <0,12> [all rights reserved]] {BSD} {BSD_END}"),
