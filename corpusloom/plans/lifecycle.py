@@ -273,3 +273,10 @@ def evaluation_problems(spark, d):
     )
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_path"), F.col("text").alias("content"))
     return evaluation.problems(asked, docs, ["direct"], ["easy"])
+
+
+@query(f"WITH {_TREE}, dup AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) SELECT state, count(*) AS n FROM (SELECT CASE WHEN first <> doc_id THEN 'duplicate' WHEN r.status IN ('ASSIGNED', 'PARTIAL', 'FALLBACK') THEN 'classified' ELSE 'unclassified' END AS state FROM dup LEFT JOIN r ON r.vec_id = doc_id) GROUP BY state")
+def import_classified(spark, d):
+    """States of imported files by their copies and by how a tree takes their vectors; files without a vector aren't classified."""
+    rows = corpus.exact_duplicates(read(spark, d, "documents")).join(_classified(spark, d).select(F.col("vec_id").alias("doc_id"), "status"), "doc_id", "left")
+    return rows.groupBy(corpus.import_state(F.coalesce("status", F.lit("UNKNOWN")), F.col("duplicate_of")).alias("state")).agg(F.count("*").alias("n"))
