@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
-#: Groups that a task has, on average: the tokenizer is loaded, and words are learned, once a task.
+#: Groups that a task has, on average. The tokenizer is loaded, and words are learned, once a worker.
 TASK_GROUPS = 4
 #: Parts that a worker remembers; beyond, it starts anew, which changes no id.
-MEMORY = 1_200_000
+MEMORY = 600_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -199,13 +199,18 @@ class Ids:
 _ids: dict[str, Ids] = {}
 
 
+def ids_of(path: str) -> Ids:
+    """The worker's own. A function that is sent to tasks must not name _ids itself, or each task gets a copy of it, empty."""
+    return _ids.get(path) or _ids.setdefault(path, Ids(path))
+
+
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed: int = 17, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each piece: doc_id and the columns of SCHEMA."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
     groups = max(1, -(-(size["n"] or 0) // group_bytes), -(-size["rows"] // 100_000))
 
     def rows(_: tuple, part: pa.Table) -> pa.Table:
-        ids = _ids.get(path) or _ids.setdefault(path, Ids(path))
+        ids = ids_of(path)
         group = part.column("_group")[0].as_py()
         known = [ids.encode(x, end) for x in part.column("text").chunks]
         tokens = [x[a:b] for x, bounds in known for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
