@@ -8,7 +8,8 @@ whose lengths are powers of two, which need no padding.
 Groups are drawn by a hash of the row and of the partition that holds it, and have a bounded number of bytes
 on average: a row that is repeated ever so often is spread as its partitions are, and a task that runs again
 deals its rows as before, in whatever order they come. Nulls and empty texts have the end id alone. Repeated rows are packed
-each by itself. A text longer than a sequence spans several. Other columns aren't carried.
+each by itself. A text longer than a sequence spans several; one of more bytes than a group has on average is whole in one.
+Other columns aren't carried. An empty table gives no piece.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ a bucket: the difference of the classes' scores. So scoring is one narrow pass w
 size (BUCKETS floats) whatever the corpus is.
 
 Nulls and empty texts get the score of the layer's bias. A row without doc_id counts as not held out.
-Repeated rows get equal scores. Where no labelled row can be learned from, every score is 0.5.
+Repeated rows get equal scores. Where no labelled row can be learned from, every score is 0.5. Texts of any length are
+scored whole; only what is learned from is bounded. An empty table gives no row, and other columns aren't read.
 """
 
 from __future__ import annotations
