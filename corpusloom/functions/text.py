@@ -184,6 +184,11 @@ def output_path(path: Column, root: str, suffix: str, flat: bool = False) -> Col
     return F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(suffix))
 
 
+def anchor_text(path: Column, description: Column) -> Column:
+    """The names of a node's path and its description, as an encoder gets them."""
+    return F.concat(F.array_join(path, " > "), F.lit(": "), F.coalesce(description, F.lit("")))
+
+
 def fingerprint(rows_sorted: Column) -> Column:
     """A digest of an ordered list of strings; for lists that a tree or a prefix bounds."""
     return F.sha2(F.array_join(rows_sorted, "\n"), 256)

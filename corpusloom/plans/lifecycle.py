@@ -195,7 +195,7 @@ def embed_text_plain(spark, d):
 def anchor_fingerprint(spark, d):
     """The digest of a tree's anchor texts in their order; a tree is small."""
     t = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    anchor = F.concat(F.array_join(F.array("r_name", "n_name"), " > "), F.lit(": "), F.col("n_nationkey"))
+    anchor = text.anchor_text(F.array("r_name", "n_name"), F.col("n_nationkey").cast("string"))
     rows = t.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", anchor.alias("a")))), lambda x: x["a"]).alias("a"))
     return rows.select(text.fingerprint(F.col("a")).alias("fingerprint"), F.size("a").cast("long").alias("n"))
 

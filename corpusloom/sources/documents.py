@@ -24,6 +24,12 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", "length", "content", F.col("modificationTime").alias("modified"), file_type(F.col("path")).alias("file_type"))
 
 
+def listed(files: DataFrame, path: str = "path", *others: str) -> DataFrame:
+    """Files in the order of their folders and names, as a walk that sorts the names of each folder meets them; then by other columns."""
+    parts = F.split(F.col(path), "/")
+    return files.orderBy(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1), *others)
+
+
 def decoded(content: bytes) -> str:
     """Text in the first encoding that fits."""
     for name in ENCODINGS:

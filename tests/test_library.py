@@ -147,3 +147,30 @@ def test_turns_with_a_memory(spark):
     once = turns.remembered(store, new)
     assert sorted((r["scope"], r["content"]) for r in once.collect()) == [("ann", "likes tea"), ("bob", "likes tea")] and all(len(r["key"]) == 16 for r in once.collect())
     assert sorted(map(tuple, turns.remembered(once, new).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_digest_vectors(spark):
+    import hashlib
+    import struct
+
+    def plain(t):
+        raw = (hashlib.sha256(t.encode()).digest() * 48)[: 384 * 4]
+        v = [f if f == f and abs(f) < 1e30 else 0.0 for f in struct.unpack("384f", raw)]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    texts = [f"text {k}" for k in range(40)] + ["", "é"]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, t string")
+    got = {r["id"]: r["embedding"] for r in encoders.encoder("digest-384")(rows, "id", "t").collect()}
+    for k, t in enumerate(texts):
+        assert max(abs(a - b) for a, b in zip(got[k], plain(t), strict=True)) < 1e-12
+    assert got[99] == got[40]
+
+
+def test_files_in_order(spark):
+    from corpusloom.sources import documents
+
+    paths = ["b/x.md", "a/z.md", "a/b/c.md", "a-b/y.md", "top.md", "a/b.md"]
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(paths * 2)], "path string, i int")
+    got = [tuple(r) for r in documents.listed(rows, "path", "i").collect()]
+    assert [p for p, _ in got[::2]] == ["top.md", "a/b.md", "a/z.md", "a/b/c.md", "a-b/y.md", "b/x.md"] and all(a[0] == b[0] and a[1] < b[1] for a, b in zip(got[::2], got[1::2], strict=True))
