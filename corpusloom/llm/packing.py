@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trim
+
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 8 << 20
-#: Groups that a task has, on average. The tokenizer is loaded, and words are learned, once a worker.
+#: Groups that a task has, on average.
 TASK_GROUPS = 4
-#: Parts that a worker remembers; beyond, it starts anew, which changes no id.
-MEMORY = 600_000
+#: Parts that a worker remembers, and that it keeps from group to group; beyond, it starts anew, which changes no id.
+MEMORY, KEPT = 600_000, 100_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -224,6 +226,10 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, seed:
                 for k, v in zip(_FIELDS, (s, n, zlib.crc32(tokens[i][s : s + n]), len(tokens[i]), (group << 32) + number, offset), strict=True):
                     out[k].append(v)
                 offset += n
+        if len(ids.kept) > KEPT:  # workers live on, some of them idle
+            ids.kept.clear()
+        del known, tokens
+        trim()
         return pa.Table.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(out[k], pa.int64()) for k in _FIELDS)], names=["doc_id", *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
