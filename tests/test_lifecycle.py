@@ -1,6 +1,8 @@
 """Manifests of many files, grafted trees, versions, shards, resumed encoding, samples and cases of stores."""
 
+import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,43 @@ def test_encoders(spark):
         encoders.encoder("none")
 
 
+def plain_counts(texts, size=128):
+    """Counts by place, a token at a time."""
+    places, out = {}, []
+    for x in texts:
+        low, counts = (x or "").lower(), [0] * size
+        for t in [*low.split(), *(low[i : i + 2] for i in range(len(low) - 1))]:
+            if t not in places:
+                places[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % size
+            counts[places[t]] += 1
+        out.append(counts)
+    return out
+
+
+def test_counts_of_odd_texts_in_small_pieces(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abAB \n\t\x1c\u00a0\u3000.\u0130\u00df\u03a3\u6f22\u5b57\U0001f600") for _ in range(r.choice([0, 0, 1, 2, 3, 40, 200]))) for _ in range(120)]
+    for slot_bits, chars, memory in ((20, 1 << 18, 500_000), (2, 7, 3), (4, 1, 1), (3, 100, 50)):
+        for name, value in (("SLOT_BITS", slot_bits), ("CHARS", chars), ("MEMORY", memory)):
+            monkeypatch.setattr(encoders, name, value)
+        for some in (texts, ["", "", "ab", ""], [""], ["a"]):
+            words, pairs = encoders._Words(128), encoders._Pairs(128)
+            got = [c.tolist() for held in encoders._stretches(x.lower() for x in some) for c in encoders._counts(held, 128, words, pairs)]
+            assert got == plain_counts(some)
+
+
+def test_counting_new_words_does_not_look_at_all_known_ones(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(160)) for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "id long, t string").coalesce(1)
+    rows = encoders.hashed_counts(rows, "id", "t")
+    began = time.time()
+    want = plain_counts([*texts, None])
+    plain = time.time() - began
+    began = time.time()
+    got = {r["id"]: r["counts"] for r in rows.collect()}
+    assert got == dict(enumerate(want)) and time.time() - began < 5 * plain + 5  # it was the square of the rows
+
+
 def test_sample_meets_every_quota(spark):
     rows = spark.range(20_000).select("id", F.when(F.col("id") < 15_000, "big").when(F.col("id") < 19_990, "mid").otherwise("few").alias("s"))
     for total in (3, 50, 7000, 30_000):
