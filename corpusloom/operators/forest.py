@@ -5,6 +5,10 @@ tree of a block, and what the least tree of two blocks has between them, hold al
 isn't in the least tree of some rows isn't in that of more rows). Borůvka's rounds choose among these: each round is a
 minimum by component and a join with the components' new names, on written tables, until the edges left are
 about as many as the rows. The tree itself, three numbers a row, is cut into clusters in a task.
+
+Pairs of rows are looked at in short floats with a margin; only those that may matter get exact distances. For core
+distances these are pairs nearer than the farthest neighbour so far. Between two blocks they are pairs nearer than the
+longest edge of the way that their trees and one edge between them have: others close a ring in which nothing is longer.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ BLOCK_ROWS, GROUP_BLOCKS, GROUPS = 2048, 8, 16
 LEFT = 2
 #: Squared distances below NONE are none, so that equal vectors are; lengths are counted in whole units of 1 / UNITS.
 NONE, UNITS = 1e-12, 1e9
+#: Rows that are compared with a block at a time; pairs a row that are looked at one by one, on average, and components of them at a time.
+TILE, PAIRS, VALUES = 128, 16, 1 << 21
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +41,63 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def short(unit: np.ndarray) -> np.ndarray:
+    """Vectors as short floats, whose products are right to within margin()."""
+    return unit.astype(np.float32)
+
+
+def margin(width: int) -> float:
+    """What a product of two short vectors of unit length is off, at most: an error a component, and some."""
+    return (width + 8) * 1.2e-7
+
+
+def squares_of(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows r of a from rows c of b."""
+    out, step = np.empty(len(r)), max(1, VALUES // max(1, a.shape[1]))
+    for k in range(0, len(r), step):
+        out[k : k + step] = np.einsum("ij,ij->i", a[r[k : k + step]], b[c[k : k + step]])
+    out *= -2
+    out += 2
+    out[out < NONE] = 0
+    return out
+
+
+def beyond(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Row and column of the products of short vectors that are above their row's bound, or their column's; None if there are more than ``most``."""
+    out, n = [(np.zeros(0, np.int64),) * 2], 0
+    for k in range(0, len(a), TILE):
+        x = a[k : k + TILE] @ b.T
+        found = x > rows[k : k + TILE, None]
+        if columns is not None:
+            found |= x > columns
+        at = np.flatnonzero(found)
+        n += len(at)
+        if most is not None and n > most:
+            return None
+        out.append((at // len(b) + k, at % len(b)))
+    r, c = (np.concatenate(x) for x in zip(*out, strict=True))
+    return r, c
+
+
+def nearer_rows(near: np.ndarray, a: np.ndarray, b: np.ndarray, a_short: np.ndarray, b_short: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` least squared distances of each row of a, which are near so far, when b's rows have come."""
+    if near.shape[1] < most:
+        return nearer(near, squares(a, b), most)
+    bound = near.max(axis=1)
+    r, c = beyond(a_short, b_short, (1 - bound / 2 - margin(a.shape[1])).astype(np.float32))
+    far = squares_of(a, b, r, c)
+    less = far < bound[r]
+    r, far = r[less], far[less]
+    counts = np.bincount(r, minlength=len(a))
+    rows = np.flatnonzero(counts)
+    if not len(rows):
+        return near
+    some = np.full((len(rows), counts.max()), np.inf)
+    some[np.searchsorted(rows, r), np.arange(len(r)) - (np.cumsum(counts) - counts)[r]] = far
+    near[rows] = np.partition(np.concatenate([near[rows], some], axis=1), most - 1, axis=1)[:, :most]
+    return near
+
+
 def nearer(near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` least values of each row of both; near has at most so many."""
     if near.shape[1] == most:  # few of many are less than the greatest so far
@@ -141,13 +204,72 @@ def crossing(far: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray, np.ndarr
     return a, b, w
 
 
+def longest(n: int, one: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The longest edge on each point's way, in a tree of n points with edges by length, to a point among the half that is tied first."""
+    name, sizes, beside, root = list(range(n)), [1] * n, [[] for _ in range(n)], 0
+
+    def named(x: int) -> int:
+        while name[x] != x:
+            name[x] = name[name[x]]
+            x = name[x]
+        return x
+
+    most = 1
+    for a, b, w in zip(one.tolist(), other.tolist(), length.tolist(), strict=True):
+        beside[a].append((b, w))
+        beside[b].append((a, w))
+        x, y = named(a), named(b)
+        name[x] = y
+        sizes[y] += sizes[x]
+        if sizes[y] > most:
+            if 2 * most <= n:
+                root = a
+            most = sizes[y]
+    out = np.full(n, np.inf)
+    out[root], left = 0, [root]
+    while left:
+        a = left.pop()
+        for b, w in beside[a]:
+            if out[b] == np.inf:
+                out[b] = max(out[a], w)
+                left.append(b)
+    return out
+
+
+def between(mine: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Row, column and length of edges between two blocks that, with the blocks' own trees, hold a least tree of both; None if too many may be needed.
+
+    Of a block: its vectors, these as short floats, the core distances and what longest() gives. One edge ties the trees;
+    a pair that isn't nearer than the longest edge between its ends by this edge isn't needed.
+    """
+    (a, a_short, core, way), (b, b_short, cores, ways) = mine, theirs
+
+    def lengths(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return units(np.maximum(np.maximum(np.sqrt(squares_of(a, b, r, c)), core[r]), cores[c]))
+
+    some = np.argsort(way, kind="stable")[:64]
+    far = units(np.maximum(np.maximum(np.sqrt(squares(a[some], b)), core[some][:, None]), cores))
+    i, j = np.unravel_index(np.argmin(np.maximum(np.maximum(far, way[some][:, None]), ways)), far.shape)
+    i, j = np.array([some[i]]), np.array([j])
+    tie = lengths(i, j)
+    least = max(float(tie[0]), float(way[i[0]]), float(ways[j[0]]))
+    bound = lambda x: (1 - (np.maximum(x, least) / UNITS) ** 2 / 2 - margin(a.shape[1])).astype(np.float32)
+    found = beyond(a_short, b_short, bound(way), bound(ways), PAIRS * (len(a) + len(b)))
+    if found is None:
+        return None
+    r, c = found
+    w = lengths(r, c)
+    need = w < np.maximum(np.maximum(way[r], ways[c]), least)
+    return np.concatenate([r[need], i]), np.concatenate([c[need], j]), np.concatenate([w[need], tie])
+
+
 SCHEMAS = {
     "blocks": pa.schema([("pid", pa.int64()), ("block", pa.int32()), ("nums", pa.binary()), ("vecs", pa.binary()), ("width", pa.int32())]),
-    "trees": pa.schema([("pid", pa.int64()), ("block", pa.int32()), ("core", pa.binary()), ("one", pa.binary()), ("other", pa.binary()), ("length", pa.binary())]),
+    "trees": pa.schema([("pid", pa.int64()), ("block", pa.int32()), ("core", pa.binary()), ("one", pa.binary()), ("other", pa.binary()), ("length", pa.binary()), ("way", pa.binary())]),
     "edges": pa.schema([("pid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]),
 }
 BLOCKS = "pid long, block int, nums binary, vecs binary, width int"
-TREES = "pid long, block int, core binary, one binary, other binary, length binary"
+TREES = "pid long, block int, core binary, one binary, other binary, length binary, way binary"
 EDGES = "pid long, a long, b long, w double"
 
 
@@ -216,6 +338,7 @@ def _with_trees(blocks: DataFrame, least_of: Callable[[int], int], spanning: Cal
                 core = np.sqrt(np.partition(found, at, axis=1)[:, at])
                 one, other, length = spanning(_vectors(row), core) if len(core) > 1 else [np.zeros(0)] * 3
                 made = {"core": core, "one": np.asarray(one, np.int64), "other": np.asarray(other, np.int64), "length": units(length)}
+                made["way"] = longest(len(core), made["one"], made["other"], made["length"])
                 yield pa.RecordBatch.from_pylist([{"pid": row["pid"], "block": row["block"]} | {k: v.tobytes() for k, v in made.items()}], schema=SCHEMAS["trees"])
 
         for row in _rows(parts):
@@ -223,12 +346,13 @@ def _with_trees(blocks: DataFrame, least_of: Callable[[int], int], spanning: Cal
                 yield from done()
                 place, own, near = (row["pid"], row["group"]), [], []
             if row["side"] == 0:
-                own.append(row)
+                own.append(row | {"short": short(_vectors(row))})
                 near.append(np.zeros((len(row["nums"]) // 8, 0)))
                 continue
             others, most = _vectors(row), least_of(row["n"])
+            others_short = short(others)
             for k, mine in enumerate(own):
-                near[k] = nearer(near[k], squares(_vectors(mine), others), most)
+                near[k] = nearer_rows(near[k], _vectors(mine), others, mine["short"], others_short, most)
         yield from done()
 
     return written(blocks.join(written(_met(blocks).mapInArrow(run, TREES), "trees"), ["pid", "block"]), "blocks-and-trees")
@@ -247,14 +371,19 @@ def _edges(blocks: DataFrame) -> DataFrame:
                 place, own = (row["pid"], row["group"]), []
             nums = np.frombuffer(row["nums"], np.int64)
             if row["side"] == 0:
-                own.append(row)
+                own.append(row | {"short": short(_vectors(row))})
                 one, other, length = _tree(row)
                 yield batch(row, nums[one], nums[other], length)
                 continue
             cores = np.frombuffer(row["core"], np.float64)
+            theirs = (_vectors(row), short(_vectors(row)), cores, np.frombuffer(row["way"], np.float64))
             for mine in own:
                 if mine["block"] < row["block"]:
                     core = np.frombuffer(mine["core"], np.float64)
+                    found = between((_vectors(mine), mine["short"], core, np.frombuffer(mine["way"], np.float64)), theirs)
+                    if found:
+                        yield batch(row, np.frombuffer(mine["nums"], np.int64)[found[0]], nums[found[1]], found[2])
+                        continue
                     far = squares(_vectors(mine), _vectors(row))
                     far = np.sqrt(far, out=far)
                     far = np.maximum(np.maximum(far, core[:, None], out=far), cores[None, :], out=far)

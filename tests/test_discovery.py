@@ -179,3 +179,54 @@ def test_edges_between_blocks_are_those_of_the_whole_tree():
         length = np.concatenate([own[0][2], own[1][2], w])
         tree = discovery.forest.joined(*ends, length)
         assert len(tree) == sum(size) - 1 and abs(length[tree].sum() / 1e9 - whole.sum()) < 1e-6
+
+
+def test_near_rows_by_short_products_are_the_nearest():
+    rng = np.random.default_rng(6)
+    forest = discovery.forest
+    for width, most in ((64, 50), (3, 5), (1, 2)):
+        unit = forest._unit(np.concatenate([rng.normal(0, 1, (900, width)), np.repeat(rng.normal(0, 1, (20, width)), 3, axis=0), np.zeros((2, width))]))
+        rng.shuffle(unit)
+        near = np.zeros((200, 0))
+        for k in range(0, len(unit), 30):
+            b = unit[k : k + 30]
+            near = forest.nearer_rows(near, unit[:200], b, forest.short(unit[:200]), forest.short(b), most)
+        assert np.abs(np.sort(near, axis=1) - np.sort(forest.squares(unit[:200], unit), axis=1)[:, :most]).max() < 1e-12
+
+
+def test_few_pairs_of_blocks_hold_the_tree_of_both():
+    rng = np.random.default_rng(7)
+    forest, looked = discovery.forest, collections.Counter()
+    for size, spread, groups, width in ((900, 0, 1, 64), (900, 0.1, 3, 64), (400, 0.2, 6, 8), (1, 0, 1, 4), (3, 0, 1, 2)):
+        centres = np.zeros((1, width)) if groups == 1 else rng.normal(0, 1, (groups, width))
+        v = centres[rng.integers(0, groups, 2 * size)] + rng.normal(0, spread or 1, (2 * size, width))
+        v[-1] = v[0]  # equal vectors, one in each block
+        unit = forest._unit(v)
+        far = forest.squares(unit, unit)
+        core = np.sqrt(np.partition(far, min(9, size - 1), axis=1)[:, min(9, size - 1)])
+        reach = forest.units(np.maximum(np.maximum(np.sqrt(far), core[:, None]), core))
+        blocks, trees = [], []
+        for s in (slice(size), slice(size, None)):
+            one, other, w = discovery._spanning(unit[s], core[s])
+            trees.append((one, other, forest.units(w)))
+            blocks.append((unit[s], forest.short(unit[s]), core[s], forest.longest(size, *trees[-1])))
+        inner = [np.concatenate([trees[0][k], trees[1][k] + size]) for k in (0, 1)]
+        found = forest.between(*blocks)
+        looked[found is None] += 1
+        if found is None:  # too many pairs may be needed
+            assert groups > 1
+            continue
+        a, b, w = found
+        assert np.abs(reach[a, b + size] - w).max() <= 1 and len(a) < 16 * 2 * size
+        one, other = np.concatenate([inner[0], a]), np.concatenate([inner[1], b + size])
+        length = np.concatenate([trees[0][2], trees[1][2], w])
+        tree = forest.joined(one, other, length)
+        want = np.sort(forest.units(discovery._spanning(unit, core)[2]))
+        assert len(tree) == 2 * size - 1 and np.abs(np.sort(length[tree]) - want).max() <= 1
+    assert looked[False] >= 3 and looked[True] >= 1
+
+
+def test_the_longest_edge_of_a_way():
+    one, other, length = np.array([0, 1, 3, 2]), np.array([1, 2, 4, 3]), np.array([1.0, 2.0, 3.0, 9.0])
+    assert discovery.forest.longest(5, one, other, length).tolist() in ([0, 1, 2, 9, 9], [1, 0, 2, 9, 9], [2, 2, 0, 9, 9])
+    assert discovery.forest.longest(1, one[:0], other[:0], length[:0]).tolist() == [0]
