@@ -4,7 +4,8 @@ A line is the set of its words. Lines with equal sets are one member, whose plac
 (by doc_id, hash of the text, line number); the later ones go. Then a line goes if one before it has a
 Jaccard similarity of at least the threshold. Words are ordered by rarity: by counts of a sketch of fixed
 size, then by hash, which is one order for all lines, so the prefix filter loses nothing. Members meet in
-the cells of their prefix words; common words' groups are cut into blocks by the sketch's count. Length and
+the cells of their prefix words, and cells travel in buckets by hash, with many entries a row; common words'
+groups are cut into blocks by the sketch's count. Length and
 position bounds, and a bound from 128-bit parity maps, rule pairs out; what remains is tied into components
 in which all pairs are verified exactly.
 
@@ -32,14 +33,21 @@ from .shared import FOLD, Words, chunks, mix, same_row, small, text_bytes, tidy,
 #: Counters of the sketch, and of each block that it travels in.
 SKETCH, PAGE = 1 << 22, 1 << 16
 LINE_BLOCK = 1024
+#: Buckets of cells: how many at least, and the words of lines for which there is one more.
+BUCKETS, BUCKET_WORDS = 1 << 10, 1 << 19
+#: Entries that a task holds before they go out by bucket, entries of a row, and entries and pairs that are worked on together.
+HELD, ROW, TOGETHER, PAIRS = 1 << 17, 128, 1 << 17, 1 << 21
 #: Sets of lines that a task remembers, so that what it reads often goes out once.
 RECENT = 1 << 18
 
 
 class Lines:
-    """The lines of some texts with their sets of words: text, number, and the range of ``token`` of each."""
+    """The lines of some texts with their sets of words: text, number, and the range of ``token`` of each.
 
-    def __init__(self, texts: list[bytes]):
+    A line's words are in the order of their logarithms in the sketch, if given, then of their values.
+    """
+
+    def __init__(self, texts: list[bytes], logs: np.ndarray | None = None):
         t = Words(texts, FOLD)
         breaks = np.flatnonzero(t.raw == 10)
         n = len(t.starts)
@@ -47,7 +55,7 @@ class Lines:
         base = np.searchsorted(breaks, t.begins[:-1])  # line breaks before each text
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (t.owner[1:] != t.owner[:-1])
-        order = _order(np.cumsum(new) - 1, t.hashes)  # lines stay in place
+        order = _order(np.cumsum(new) - 1, t.hashes, None if logs is None else logs[slot(t.hashes)])  # lines stay in place
         owner, token = t.owner, t.hashes[order]
         keep = new.copy()
         keep[1:] |= token[1:] != token[:-1]
@@ -114,11 +122,11 @@ def slot(tokens: np.ndarray) -> np.ndarray:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: lines (doc_id, th, number, id, name, n), and pages of the sketch (number, counts)."""
+    """Two kinds of rows: lines (doc_id, th, number, id, name), and pages of the sketch (number, counts)."""
     kind = docs.schema["doc_id"].dataType
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh, counts, names = _Fresh(), np.zeros(SKETCH, np.uint32), ["doc_id", "th", "number", "id", "name", "n", "counts"]
+        fresh, counts, names = _Fresh(), np.zeros(SKETCH, np.uint32), ["doc_id", "th", "number", "id", "name", "counts"]
         doc_type, touched = None, False
         for part in parts:
             doc_type = part.column(0).type
@@ -133,19 +141,19 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 touched = True
                 at = pa.array(lines.text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(ids, pa.binary()), pa.array(np.ascontiguousarray(lines.ids[:, 0]).view(np.int64)), pa.array(lines.sizes, pa.int32()), pa.nulls(len(ids), pa.binary())],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(ids, pa.binary()), pa.array(np.ascontiguousarray(lines.ids[:, 0]).view(np.int64)), pa.nulls(len(ids), pa.binary())],
                     names=names,
                 )
         if touched:
             pages = counts.reshape(-1, PAGE)
             used = np.flatnonzero(pages.any(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), doc_type), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32()), pa.array([_packed(pages[p]) for p in used], pa.binary())],
+                [pa.nulls(len(used), doc_type), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()), pa.array([_packed(pages[p]) for p in used], pa.binary())],
                 names=names,
             )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, th long, number int, id binary, name long, n int, counts binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, th long, number int, id binary, name long, counts binary")
 
 
 def _packed(page: np.ndarray) -> bytes:
@@ -184,9 +192,9 @@ def parity(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 128), axis=1).view(np.uint64)
 
 
-#: A line in a cell: its name, size, the word's place in its order times four plus the line's side, and its parity map.
+#: A line in a cell: the cell, the line's name and size, the word's place in its order times four plus the line's side, and its parity map.
 #: A text has less than 2**31 bytes, so a place is below 2**30.
-_BODY = np.dtype([("id", "<u8"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
+_BODY = np.dtype([("cell", "<u8"), ("id", "<u8"), ("n", "<u4"), ("at", "<u4"), ("map", "<u8", 2)])
 
 
 def least_size(four: int, five: int) -> int:
@@ -194,21 +202,47 @@ def least_size(four: int, five: int) -> int:
     return -(-four // (five - four)) if five > four else 1 << 31
 
 
+def bucket_count(logs: np.ndarray) -> int:
+    """Buckets for all entries, so that one has a few tens of thousands, whatever the corpus."""
+    words = float((np.exp2(logs / 6.0) - 1).sum())
+    return int(min(max(BUCKETS, words // BUCKET_WORDS), 1 << 24))
+
+
+def _dealt(bodies: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The entries as rows of a bucket with up to ROW of them."""
+    body = np.concatenate([x.view(np.uint64).reshape(len(x), -1) for x in bodies]).view(_BODY)[:, 0]  # numpy is slow at joining and indexing records
+    bucket = ((body["cell"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    body, bucket = body.take(order), bucket[order]
+    first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+    since = np.arange(len(body)) - np.repeat(first, np.diff(first, append=len(body)))
+    begins = np.flatnonzero(since % ROW == 0)
+    ends = np.append(begins, len(body))
+    for k in range(0, len(begins), 1000):
+        at = ends[k : k + 1001]
+        offsets = ((at - at[0]) * body.itemsize).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body[at[0] : at[-1]].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), data], names=["cell", "bodies"])
+
+
 def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFrame:
-    """cell and body (see _BODY) for each prefix word of each line.
+    """Buckets of cells (``cell`` is the bucket), and bodies (see _BODY) for each prefix word of each line.
 
     A line is named by 64 bits here: lines that share a name by chance are candidates of the same
     component, no more, as names of 128 bits and the sets themselves decide later.
     """
     sent = docs.sparkSession.sparkContext.broadcast(logs)  # SKETCH bytes
-    kind, fewest = _BODY, least_size(four, five)
+    kind, fewest, buckets, most = _BODY, least_size(four, five), bucket_count(logs), HELD
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, fresh = sent.value, _Fresh()
+        block_count = np.ceil(np.exp2(np.arange(256) / 6.0) * 1.1 / LINE_BLOCK).astype(np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for part in parts:
             texts = text_bytes(part.column(0))
             for a, b in chunks(texts):
-                lines = Lines(texts[a:b])
+                lines = Lines(texts[a:b], log)
                 names = lines.names()
                 new = np.flatnonzero(fresh(names) & (lines.sizes >= fewest)) if names else np.zeros(0, np.int64)
                 if not len(new):
@@ -222,73 +256,110 @@ def _entries(docs: DataFrame, logs: np.ndarray, four: int, five: int) -> DataFra
                 of = renumber[lines.of_token[keep]]
                 sizes = lines.sizes[new].astype(np.int64)
                 maps = parity(token, of, len(new))
-                common = log[slot(token)]
-                order = _order(of, token, common)
-                token, of, common = token[order], of[order], common[order]
-                begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)[:-1]])
-                at = np.arange(len(token)) - begins[of]
                 prefix = sizes - -(-four * sizes // five) + 1
-                head = at < prefix[of]
-                token, of, common, at = token[head], of[head], common[head], at[head]
-                body = np.zeros(len(token), kind)
-                body["id"] = lines.ids[new, 0][of]
-                body["n"], body["at"], body["map"] = sizes[of], at, maps[of]
-                blocks = np.ceil(np.exp2(common / 6.0) * 1.1 / LINE_BLOCK).astype(np.int64)
-                own = (lines.ids[new, 0][of] % blocks.astype(np.uint64)).astype(np.int64)
-                repeat = np.repeat(np.arange(len(token)), blocks)
-                other = np.arange(len(repeat)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                low, high = np.minimum(own[repeat], other), np.maximum(own[repeat], other)
+                of = np.repeat(np.arange(len(new)), prefix)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                token = token[np.repeat(np.cumsum(sizes) - sizes, prefix) + at]
+                blocks = block_count[log[slot(token)]]
+                line = np.zeros(len(new), kind)
+                line["id"], line["n"], line["map"] = lines.ids[new, 0], sizes, maps
+                body = line.take(of)
+                body["at"] = at * 4
+                own = other = np.zeros(len(body), np.int64)
+                if (blocks > 1).any():
+                    own = (body["id"] % blocks.astype(np.uint64)).astype(np.int64)
+                    repeat = np.repeat(np.arange(len(token)), blocks)
+                    other = np.arange(len(repeat)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    token, own, body = token[repeat], own[repeat], body.take(repeat)
+                    body["at"] += np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint32)
                 with np.errstate(over="ignore"):
-                    cell = mix(token[repeat] + mix((low * 1_000_003 + high).astype(np.uint64))).view(np.int64)
-                side = np.where(own[repeat] == other, 0, np.where(own[repeat] < other, 1, 2))
-                body = body[repeat]
-                body["at"] = body["at"] * 4 + side
-                for k in range(0, len(cell), 100_000):
-                    some = body[k : k + 100_000]
-                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize), len(some), [None, pa.py_buffer(some.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 100_000]), data], names=["cell", "body"])
-
-    return docs.select("text").mapInArrow(tidy(run), "cell long, body binary")
+                    body["cell"] = mix(token + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other)).astype(np.uint64)))
+                for k in range(0, len(body), most):
+                    held.append(body[k : k + most])
+                    size += len(held[-1])
+                    if size >= most:
+                        yield from _dealt(held, buckets)
+                        held, size = [], 0
+        if size:
+            yield from _dealt(held, buckets)
+
+    return docs.select("text").mapInArrow(tidy(run), "cell int, bodies binary")
+
+
+def _ties(names: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each name but the least of its component, among those that the pairs tie together, to the least."""
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    at, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+    _, first, of = np.unique(names[at].view(np.int64), return_index=True, return_inverse=True)
+    node = of[node]
+    label = least_labels(len(first), node[: len(a)], node[len(a) :])
+    moved = np.flatnonzero(label != np.arange(len(first)))
+    return at[first[moved]], at[first[label[moved]]]
+
+
+def _tied(rows: np.ndarray, four: int, five: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names a, b of lines in the same cells that no bound rules out: an edge from each to the least it is tied to."""
+    none = np.zeros(0, np.int64)
+    cell = rows["cell"]
+    order = np.argsort(cell)
+    cell = cell[order]
+    same = cell[1:] == cell[:-1]
+    many = np.append(same, False) | np.insert(same, 0, False)
+    order, cell = order[many], cell[many]
+    if not len(order):
+        return none, none
+    rows = rows.take(order)
+    new = np.append(True, cell[1:] != cell[:-1])
+    cell = np.cumsum(new) - 1
+    key = (cell << 32) + rows["n"]
+    order = np.argsort(key)
+    rows, key = rows.take(order), key[order]  # by size within each cell
+    n, side, maps, names, pairs, held = rows["n"].astype(np.int64), rows["at"] & 3, np.ascontiguousarray(rows["map"]), np.ascontiguousarray(rows["id"]), [], 0
+    # Two lines share the lesser of their rests at most, and need four of four + five of their sizes' sum. So a
+    # rest bounds the other's size, both that of the larger and that of the smaller.
+    most = (n - (rows["at"] >> 2)) * (four + five) // four - n
+    last = np.minimum(np.minimum(five * n // four, most), (1 << 32) - 1)
+    ends = np.searchsorted(key, (cell << 32) + np.maximum(last, 0), "right")
+    base, lag = np.arange(len(rows)), 1
+    while True:
+        base = base[base + lag < ends[base]]
+        if not len(base):
+            break
+        j = base + lag
+        lag += 1
+        i = base[ok := n[base] <= most[j]]
+        j = j[ok]
+        ok = (side[i] == 0) | (side[i] != side[j])
+        total = n[i] + n[j]
+        apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        ok &= (apart <= total - 2 * -(-four * total // (four + five))) & (names[i] != names[j])
+        if ok.any():
+            pairs.append((i[ok], j[ok]))
+            held += len(pairs[-1][0])
+        if held > PAIRS:
+            pairs = [_ties(names, pairs)]
+            held = 0
+    if not pairs:
+        return none, none
+    a, b = _ties(names, pairs)
+    return names[a].view(np.int64), names[b].view(np.int64)
 
 
 def _candidates(entries: DataFrame, four: int, five: int) -> DataFrame:
-    """Edges a, b of lines that no bound rules out: for each task and line one edge to the least it is tied to."""
-    kind = _BODY
+    """Edges a, b of lines that no bound rules out, made from whole buckets."""
+    kind, most = _BODY, TOGETHER
 
     def work(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-        many = np.diff(begins) > 1
-        if not many.any():
-            return
-        body = table.column("body").combine_chunks()
-        offset = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, body.offset * 4)
-        rows = np.frombuffer(body.buffers()[2], kind, len(body), int(offset[0]))
-        cell = np.repeat(np.arange(len(many)), np.diff(begins))
-        order = np.argsort((cell << 32) + rows["n"], kind="stable")  # by size within each cell
-        rows = rows[order]
-        base = np.flatnonzero(many[cell])
-        n, at, side, maps, lag = rows["n"].astype(np.int64), (rows["at"] >> 2).astype(np.int64), rows["at"] & 3, rows["map"], 1
-        a, b = [], []
-        while len(base):
-            base = base[base + lag < begins[cell[base] + 1]]
-            base = base[five * n[base] >= four * n[base + lag]]  # those after are larger still
-            i, j = base, base + lag
-            lag += 1
-            need = -(-four * (n[i] + n[j]) // (four + five))
-            ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((side[i] == 0) | (side[i] != side[j]))
-            i, j, need = i[ok], j[ok], need[ok]
-            apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1).astype(np.int64)
-            ok = apart <= n[i] + n[j] - 2 * need
-            a.append(i[ok])
-            b.append(j[ok])
-        if not a:
-            return
-        a, b = np.concatenate(a), np.concatenate(b)
-        if not len(a):
-            return
-        names, node = np.unique(rows["id"][np.concatenate([a, b])].view(np.int64), return_inverse=True)
-        label = least_labels(len(names), node[: len(a)], node[len(a) :])
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["a", "b"])
+        bodies = table.column("bodies").combine_chunks()
+        offset = np.frombuffer(bodies.buffers()[1], np.int32, len(bodies) + 1, bodies.offset * 4).astype(np.int64)
+        ends, at = (offset[begins] - offset[0]) // kind.itemsize, 0  # of buckets, in entries
+        rows = np.frombuffer(bodies.buffers()[2], kind, int(ends[-1]), int(offset[0]))
+        while at < len(ends) - 1:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            a, b = _tied(rows[ends[at] : ends[to]], four, five)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            at = to
 
     return by_cell(entries, work, "a long, b long")
 
@@ -318,7 +389,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, th and the sorted numbers (from 0) of the lines that go, for each document that loses any."""
     if not 0 < threshold <= 1:
         raise ValueError("thresholds are above 0 and at most 1")
-    four, five = round(threshold * 100), 100
+    four, five = max(1, round(threshold * 100)), 100
     scanned = written(_scanned(docs), "lines")
     lines = scanned.where("id IS NOT NULL").drop("counts")
     logs = _sketch(scanned.where("id IS NULL").select("number", "counts"))

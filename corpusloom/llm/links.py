@@ -105,6 +105,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Members of a block whose sets are compared as a whole.
 SET_BLOCK = 256
+#: Groups of so few members, and so many values in all their pairs, are compared many at a time.
+FEW, VALUES = 16, 1 << 18
 _RESULT = "id binary, links long, later boolean, other binary"
 
 
@@ -133,6 +135,25 @@ def _linked(sets: list[np.ndarray], side: np.ndarray, five: int, four: int) -> t
     return np.nonzero(np.triu(ok, 1))
 
 
+def _few_linked(sets: list[np.ndarray], side: np.ndarray, begins: np.ndarray, five: int, four: int) -> tuple[np.ndarray, np.ndarray]:
+    """What _linked finds, for many small groups together: group k is from begins[k] to begins[k + 1]."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    after = np.repeat(begins[1:], np.diff(begins)) - np.arange(len(sets)) - 1  # members of the group that come after each
+    i = np.repeat(np.arange(len(sets)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    ok = ((side[i] == 0) | (side[i] != side[j])) & (five * np.minimum(sizes[i], sizes[j]) >= four * np.maximum(sizes[i], sizes[j]))
+    i, j = i[ok], j[ok]
+    different, value = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    member, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    n = sizes[member]
+    at = np.repeat(first[member] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    key = np.sort(np.repeat(pair, n) * len(different) + value[at])
+    both = np.bincount(key[1:][key[1:] == key[:-1]] // max(1, len(different)), minlength=len(i))
+    ok = five * both >= four * (sizes[i] + sizes[j] - both)
+    return i[ok], j[ok]
+
+
 def _key(place: dict) -> tuple:
     """A struct as something to sort by; nulls come first, as they do in Spark."""
     return tuple((x is not None, x) for x in place.values())
@@ -150,13 +171,10 @@ def verified(members: DataFrame, four: int = 4, five: int = 5, block: int = SET_
         ids, raw, order = table.column("id").to_pylist(), table.column("set").to_pylist(), [_key(x) for x in table.column("ord").to_pylist()]
         side, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            at = list({ids[i]: i for i in range(b - 1, a - 1, -1)}.values())  # a member comes once
-            if len(at) < 2:
-                continue
-            i, j = _linked([np.frombuffer(raw[k], np.uint64) for k in at], side[at], five, four)
+
+        def found(at: list[int], i: np.ndarray, j: np.ndarray) -> None:
             if not len(i):
-                continue
+                return
             rank = np.empty(len(at), np.int64)
             rank[sorted(range(len(at)), key=lambda k: order[at[k]])] = np.arange(len(at))
             links, later = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
@@ -169,6 +187,25 @@ def verified(members: DataFrame, four: int = 4, five: int = 5, block: int = SET_
             for k in np.flatnonzero(links).tolist():
                 for column, x in zip(out, (ids[at[k]], int(links[k]), bool(later[k]), ids[at[label[k]]]), strict=True):
                     column.append(x)
+
+        few: list[int] = []  # members of small groups
+        ends, values = [0], 0
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            at = list({ids[i]: i for i in range(b - 1, a - 1, -1)}.values())  # a member comes once
+            if len(at) < 2:
+                continue
+            size = (len(at) - 1) * sum(len(raw[k]) for k in at) // 8 if len(at) <= FEW else VALUES
+            if size >= VALUES:
+                found(at, *_linked([np.frombuffer(raw[k], np.uint64) for k in at], side[at], five, four))
+                continue
+            few += at
+            ends.append(len(few))
+            values += size
+            if values >= VALUES:
+                found(few, *_few_linked([np.frombuffer(raw[k], np.uint64) for k in few], side[few], np.array(ends), five, four))
+                few, ends, values = [], [0], 0
+        if few:
+            found(few, *_few_linked([np.frombuffer(raw[k], np.uint64) for k in few], side[few], np.array(ends), five, four))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["id", "links", "later", "other"])
 
     return by_cell(cells(members, "root", "n_group", "id", block).drop("root", "n_group"), work, _RESULT)

@@ -53,8 +53,9 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document the lines that a line before resembles, and the text without them."""
-    docs = _read(spark, sf_dir, "documents")
-    rows = lines.without_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")))
+    docs, text = _read(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    rows = lines.without_lines(docs.select("doc_id", "text", (breaks + 1).cast("long").alias("n_lines")))
     return rows.select("doc_id", "n_lines", F.size(F.coalesce("removed", F.array().cast("array<int>"))).cast("long").alias("n_removed"), "removed", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.sha1(F.coalesce("text", F.lit(""))).alias("text_sha1"))
 
 
