@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import centroids
 from ..session import written
 from . import forest
 
-#: Rows of a pool that are clustered in a task, and rows that are clustered at all; clusters that are kept.
-POOL_ROWS, WHOLE_ROWS, KEPT = 20_000, 1_000_000, 8
+#: Clusters of a pool that are kept.
+KEPT = 8
+#: Without effect: bounds above which pools were once clustered otherwise and sampled. The names stay for callers that set them.
+POOL_ROWS, WHOLE_ROWS = 20_000, 1_000_000
 #: Distances that are held at a time.
 BLOCK = 1 << 20
 
@@ -142,64 +140,27 @@ def clusters_of(vectors: np.ndarray, least: int, by: str = "cut") -> np.ndarray:
 
 
 def discover(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "embedding", by: str = "cut") -> DataFrame:
-    """pool, key, cluster (-1: none): the KEPT largest clusters of each pool, from 0 by size. ``by``: see clusters_of.
+    """pool, key, cluster (-1: none): the KEPT largest clusters of each pool, from 0 by size, ties by their least key. ``by``: see clusters_of.
 
-    A pool of at most POOL_ROWS rows with a vector is clustered in a task; a larger one by blocks (see forest), which
-    give the same clusters. Of one above WHOLE_ROWS those first by a hash of the key are clustered, and its other rows go to
-    the nearest centroid of a kept cluster. Noise, members of clusters not kept, and rows without a pool or vector, or
-    with a vector of another size than most of their pool, have none.
+    Every pool is clustered whole and in one way, whatever its size: by blocks (see forest), which give the clusters of
+    clusters_of. Noise, members of clusters not kept, and rows without a pool or vector, with a component that is null
+    or not finite, or with a vector of another size than most of their pool, have none.
     """
-    kind, pool_kind = (rows.schema[c].dataType.simpleString() for c in (key, pool))
-    hashed = F.md5(F.col(key).cast("string"))
-    rows = written(rows.select(pool, key, vector, F.monotonically_increasing_id().alias("_num")), "pools")
-    sizes = rows.where(F.col(vector).isNotNull() & F.col(pool).isNotNull()).groupBy(pool, F.size(vector).alias("_size")).agg(F.count("*").alias("_n"))
-    sizes = sizes.groupBy(pool).agg(F.max(F.struct("_n", (-F.col("_size")).alias("_less"))).alias("m")).select(pool, "m._n", (-F.col("m._less")).alias("_size"))
-    counts = written(sizes.withColumn("_pid", F.monotonically_increasing_id()), "pool-counts")  # pools are few: those of a tree's nodes
-    rows = rows.join(F.broadcast(counts), pool, "left").withColumn("_fits", F.coalesce(F.size(vector) == F.col("_size"), F.lit(False)))
-    small, large, sampled = F.col("_fits") & (F.col("_n") <= POOL_ROWS), F.col("_fits") & (F.col("_n") > POOL_ROWS), F.col("_fits") & (F.col("_n") > WHOLE_ROWS)
-
-    def cluster(_: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by("_h")
-        vectors = np.array(part.column(vector).combine_chunks().flatten(), float).reshape(part.num_rows, -1)
-        label = clusters_of(vectors, least_size(len(vectors)), by)
-        found = sorted(((int((label == c).sum()), -c) for c in set(label.tolist()) - {-1}), reverse=True)[:KEPT]
-        own = np.full(len(label), -1)
-        for k, (_size, c) in enumerate(found):
-            own[label == -c] = k
-        return part.select(["_num"]).append_column("cluster", pa.array(own, pa.int32()))
-
-    labels = rows.where(small).select(pool, "_num", vector, F.concat(hashed, F.lit(" "), F.lpad(F.col("_num").cast("string"), 20, "0")).alias("_h")).groupBy(pool).applyInArrow(cluster, "_num long, cluster int")
-    biggest = counts.agg(F.max("_n")).first()[0] or 0
-    if biggest > POOL_ROWS:
-        chosen = rows.where(large)
-        if biggest > WHOLE_ROWS:
-            share = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 4294967296.0
-            near = chosen.where(~sampled | (share <= 1.5 * WHOLE_ROWS / F.col("_n") + 0.01))  # more than are needed, never the whole pool
-            chosen = near.withColumn("_r", F.row_number().over(Window.partitionBy(pool).orderBy(hashed, key, "_num"))).where(F.col("_r") <= WHOLE_ROWS)
-        chosen = written(chosen.select(F.col("_pid").alias("pid"), F.col("_num").alias("num"), F.col(vector).cast("array<double>").alias("vector")), "chosen")
-        found = forest.clusters(chosen, least_size, _spanning, _by_cut if by == "cut" else _by_mass)
-        order = Window.partitionBy("pid").orderBy(F.desc("size"), "first")
-        kept = found.where("cluster >= 0").groupBy("pid", "cluster").agg(F.count("*").alias("size"), F.min("num").alias("first")).withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") < KEPT)
-        found = written(found.join(F.broadcast(kept.select("pid", "cluster", "_k")), ["pid", "cluster"], "left").select("pid", "num", F.coalesce("_k", F.lit(-1)).alias("cluster")), "kept-clusters")
-        labels = labels.unionByName(found.select(F.col("num").alias("_num"), "cluster"))
-        if biggest > WHOLE_ROWS:
-            centres = centroids(chosen.join(found.where("cluster >= 0"), ["pid", "num"]).select((F.col("pid") * KEPT + F.col("cluster")).alias("place"), "vector"), "place", "vector")
-            by_pool: dict[int, list[tuple[int, list[float]]]] = {}
-            for r in centres.select("place", "centroid").orderBy("place").collect():  # KEPT a pool
-                by_pool.setdefault(r["place"] // KEPT, []).append((r["place"] % KEPT, r["centroid"]))
-
-            def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for part in parts:
-                    out = []
-                    for p, v in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                        own = by_pool.get(p)
-                        c = np.array([x for _, x in own or ()])
-                        out.append(own[int((c @ np.array(v) / np.maximum(np.linalg.norm(c, axis=1), 1e-12)).argmax())][0] if own else -1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int32())], names=["_num", "cluster"])
-
-            rest = rows.where(sampled).join(chosen.select(F.col("num").alias("_num")), "_num", "left_anti")
-            labels = labels.unionByName(rest.select("_num", "_pid", vector).mapInArrow(assign, "_num long, cluster int"))
-    return rows.select(pool, key, "_num").join(labels, "_num", "left").select(pool, key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    if by not in ("cut", "mass"):
+        raise ValueError("clusters are found by cut or by mass")
+    rows = written(rows.select(pool, key, F.col(vector).cast("array<double>").alias("_vector"), F.monotonically_increasing_id().alias("_num")), "pools")
+    finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = rows.where(F.col(pool).isNotNull() & (F.size("_vector") > 0) & finite).withColumn("_size", F.size("_vector"))
+    sizes = usable.groupBy(pool, "_size").agg(F.count("*").alias("_n"))
+    sizes = sizes.groupBy(pool).agg(F.max(F.struct("_n", (-F.col("_size")).alias("_less"))).alias("m")).select(pool, (-F.col("m._less")).alias("_size"))
+    counts = written(sizes.withColumn("pid", F.monotonically_increasing_id()), "pool-sizes")  # pools are few: those of a tree's nodes
+    points = usable.join(F.broadcast(counts), [pool, "_size"]).select("pid", F.col("_num").alias("num"), F.col("_vector").alias("vector"))
+    found = forest.clusters(points, least_size, _spanning, _by_cut if by == "cut" else _by_mass)
+    found = written(rows.select(pool, key, "_num").join(found.where("cluster >= 0").select(F.col("num").alias("_num"), "cluster"), "_num", "left"), "found")
+    order = Window.partitionBy(pool).orderBy(F.desc("_n"), "_first", "_least")
+    kept = found.where("cluster >= 0").groupBy(pool, "cluster").agg(F.count("*").alias("_n"), F.min(key).alias("_first"), F.min("_num").alias("_least"))
+    kept = kept.withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") < KEPT).select(pool, "cluster", "_k")
+    return found.join(F.broadcast(kept), [pool, "cluster"], "left").select(pool, key, F.coalesce("_k", F.lit(-1)).alias("cluster"))
 
 
 def mass_clusters(rows: DataFrame, pool: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -211,6 +172,5 @@ def report(found: DataFrame, pool: str) -> DataFrame:
     """For each pool its rows, the members that a cluster needs, whether it could be clustered, clusters kept, and rows without one."""
     n = F.count("*").alias("pool_size")
     rows = found.groupBy(pool).agg(n, F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") < 0).alias("n_noise"))
-    clustered = F.least(F.col("pool_size"), F.lit(WHOLE_ROWS))
-    least = F.greatest(F.lit(15), F.least(F.floor(0.003 * clustered), F.lit(50))).cast("int")
+    least = F.greatest(F.lit(15), F.least(F.floor(0.003 * F.col("pool_size")), F.lit(50))).cast("int")
     return rows.select(pool, "pool_size", least.alias("min_cluster_size"), (F.col("pool_size") >= least).alias("clustered"), "n_clusters", "n_noise")

@@ -1,4 +1,4 @@
-"""The least spanning tree of a large pool's mutual reachability distances, and the clusters that it has.
+"""The least spanning tree of a pool's mutual reachability distances, and the clusters that it has.
 
 A pool's rows are dealt into blocks of bounded size. Core distances come from blocks that meet all blocks one by one. The
 tree of a block, and what the least tree of two blocks has between them, hold all edges of the pool's tree (an edge that
@@ -24,6 +24,8 @@ from ..session import written
 
 #: Rows of a block, and blocks that meet the others in one task, at most. Groups of blocks that there should be.
 BLOCK_ROWS, GROUP_BLOCKS, GROUPS = 2048, 8, 16
+#: Groups that each block of a pool is sent to, at most; groups get larger for that, up to so many bytes of vectors.
+COPIES, HELD = 64, 64 << 20
 #: Edges are handed over for the last choice when a pool's rows are at least this part of them.
 LEFT = 2
 #: Squared distances below NONE are none, so that equal vectors are; lengths are counted in whole units of 1 / UNITS.
@@ -304,7 +306,9 @@ def _blocks(points: DataFrame) -> DataFrame:
 
 def _met(blocks: DataFrame) -> DataFrame:
     """Groups of blocks, each followed by all blocks of its pool: side 0, then side 1."""
-    rows = blocks.withColumn("_g", F.greatest(F.lit(1), F.least(F.lit(GROUP_BLOCKS), F.ceil(F.col("n_blocks") / GROUPS))).cast("int"))
+    few = F.least(F.lit(GROUP_BLOCKS), F.ceil(F.col("n_blocks") / GROUPS))
+    many = F.least(F.ceil(F.col("n_blocks") / COPIES), F.floor(F.lit(HELD) / (8 * BLOCK_ROWS * F.col("width"))))
+    rows = blocks.withColumn("_g", F.greatest(F.lit(1), few, many).cast("int"))
     own = rows.withColumn("group", F.floor(F.col("block") / F.col("_g")).cast("int")).withColumn("side", F.lit(0))
     last = F.floor((F.col("n_blocks") - 1) / F.col("_g")).cast("int")
     each = rows.withColumn("group", F.explode(F.sequence(F.lit(0), last))).withColumn("side", F.lit(1))
