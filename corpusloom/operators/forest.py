@@ -26,8 +26,8 @@ from ..session import written
 BLOCK_ROWS, GROUP_BLOCKS, GROUPS = 2048, 8, 16
 #: Groups that each block of a pool is sent to, at most; groups get larger for that, up to so many bytes of vectors.
 COPIES, HELD = 64, 64 << 20
-#: Edges are handed over for the last choice when a pool's rows are at least this part of them.
-LEFT = 2
+#: Edges are handed over for the last choice when they are at most so many times the rows, or so many in all.
+LEFT, HANDED = 2, 1 << 20
 #: Squared distances below NONE are none, so that equal vectors are; lengths are counted in whole units of 1 / UNITS.
 NONE, UNITS = 1e-12, 1e9
 #: Rows that are compared with a block at a time; pairs a row that are looked at one by one, on average, and components of them at a time.
@@ -411,7 +411,7 @@ def _renamed(best: DataFrame) -> DataFrame:
 
 
 def forest(edges: DataFrame, n_points: int) -> DataFrame:
-    """pid, a, b and w (in units) of edges that hold the least spanning forest, at most some LEFT times as many as points.
+    """pid, a, b and w (in units) of edges that hold the least spanning forest, at most some LEFT times as many as points, or HANDED.
 
     Borůvka's rounds: every component takes the least of its edges, by length and then ends; components that it ties
     become one; of parallel edges the least stays.
@@ -419,7 +419,7 @@ def forest(edges: DataFrame, n_points: int) -> DataFrame:
     kept = edges.limit(0)
     now = edges.select("pid", F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("e"))
     n = now.count()
-    while n > LEFT * n_points:
+    while n > max(LEFT * n_points, HANDED):
         both = now.select("pid", F.col("ca").alias("c"), F.col("cb").alias("o"), "e").unionByName(now.select("pid", F.col("cb").alias("c"), F.col("ca").alias("o"), "e"))
         best = written(both.groupBy("c").agg(F.min(F.struct("e", "o", "pid")).alias("m")).select("c", "m.o", "m.pid", "m.e"), "least-edges")
         names = _renamed(best)

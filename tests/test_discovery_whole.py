@@ -56,3 +56,14 @@ def test_larger_groups_give_the_same_clusters(spark, monkeypatch, rows):
     for name, value in (("BLOCK_ROWS", 16), ("GROUP_BLOCKS", 1), ("COPIES", 3)):
         monkeypatch.setattr(discovery.forest, name, value)
     assert {tuple(r) for r in discovery.mass_clusters(df, "pool").collect()} == want and len({c for _, _, c in want}) == 9
+
+
+def test_edges_chosen_in_rounds_or_at_once_give_the_same_clusters(spark, monkeypatch, rows):
+    df, looked, renamed = spark.createDataFrame(rows, SCHEMA), [], discovery.forest._renamed
+    monkeypatch.setattr(discovery.forest, "_renamed", lambda best: looked.append(1) or renamed(best))
+    monkeypatch.setattr(discovery.forest, "BLOCK_ROWS", 40)
+    want = {tuple(r) for r in discovery.mass_clusters(df, "pool").collect()}
+    assert not looked and len({c for _, _, c in want}) == 9
+    monkeypatch.setattr(discovery.forest, "HANDED", 0)
+    monkeypatch.setattr(discovery.forest, "LEFT", 0.02)
+    assert {tuple(r) for r in discovery.mass_clusters(df, "pool").collect()} == want and looked
